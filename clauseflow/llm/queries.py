@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import gif
+from . import gif, simhash
 
 QUERIES = {
     "op1_gif_media": gif.op1_gif_media,
+    "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
