@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import gif, simhash
+from . import gif, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_gif_media": gif.op1_gif_media,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
 }
 
 ORACLES: dict[str, str] = {}
