@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import gif, simhash, substring_dedup, suffix_dedup
+from . import decontaminate, gif, line_dedup, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_gif_media": gif.op1_gif_media,
-    "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
+    "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": line_dedup.OP2_SQL,
+}
