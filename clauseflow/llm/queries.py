@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontaminate, gif, line_dedup, simhash, substring_dedup, suffix_dedup
+from . import bpe, decontaminate, gif, license_scan, line_dedup, quality, simhash, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
     "op1_gif_media": gif.op1_gif_media,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
+    "op7_warc_bundles": warc.op7_warc_bundles,
+    "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op7_warc_bundles": warc.OP7_SQL,
 }
