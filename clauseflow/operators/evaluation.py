@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,26 +68,29 @@ def iou_pairs(placed: DataFrame, gold: DataFrame, min_iou: float = MIN_IOU) -> D
 def greedy_match(pairs: DataFrame) -> DataFrame:
     """One-to-one matches by falling IoU, ties by finding and then by gold order.
 
-    Pairs never cross a (document, paragraph, clause) cell, so each cell is matched by itself; its
-    size is that of one paragraph's annotations.
+    Pairs never cross a (document, paragraph, clause) cell. Cells are dealt to tasks, sorted there by
+    the order of choice, and read in one stream that remembers what the current cell has used; a
+    cell's size is that of one paragraph's annotations.
     """
     keys = ["doc_key", "para_ix", "clause_type"]
     columns = [*keys, "finding_id", "gold_ix", "f_start", "iou"]
 
-    def match(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values(["iou", "f_start", "finding_id", "gold_ix"], ascending=[False, True, True, True])
-        ours: set = set()
-        theirs: set = set()
-        keep = []
-        for finding, gold in zip(cell["finding_id"], cell["gold_ix"], strict=True):
-            free = finding not in ours and gold not in theirs
-            keep.append(free)
-            if free:
-                ours.add(finding)
-                theirs.add(gold)
-        return cell[keep]
-
-    return pairs.select(*columns).groupBy(*keys).applyInPandas(match, pairs.select(*columns).schema)
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, ours, theirs = None, set(), set()
+        for batch in batches:
+            keep = []
+            for *now, finding, gold in zip(*(batch[c] for c in (*keys, "finding_id", "gold_ix")), strict=True):
+                if now != cell:
+                    cell, ours, theirs = now, set(), set()
+                free = finding not in ours and gold not in theirs
+                keep.append(free)
+                if free:
+                    ours.add(finding)
+                    theirs.add(gold)
+            yield batch[keep]
+
+    rows = pairs.select(*columns).repartition(*keys)
+    return rows.sortWithinPartitions(*keys, F.desc("iou"), "f_start", "finding_id", "gold_ix").mapInPandas(choose, rows.schema)
 
 
 def prf(placed: DataFrame, gold: DataFrame, matches: DataFrame) -> DataFrame:

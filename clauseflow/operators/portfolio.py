@@ -18,7 +18,7 @@ from .severity import FREE_REFUSAL, severity_counts, severity_rank
 GATING = ("change_of_control", "anti_assignment", "termination_convenience")
 DATED = ("auto_renewal", "change_of_control", "termination_convenience", "exclusivity")
 OBLIGATION = r"(?i)\b(?:shall|must|may not|may terminate|consent|notice|not less than)\b"
-STANDARD = r"(?i)(sole(?:\s+and\s+absolute)?\s+discretion|absolute\s+discretion|not\s+(?:be\s+)?unreasonably\s+(?:withheld|delayed|conditioned)|for\s+any\s+reason)"
+STANDARD = r"(?i)(sole(?:\s+and\s+absolute)?\s+discretion|absolute\s+discretion|not\s+(?:to\s+)?(?:be\s+)?unreasonably\s+(?:withheld|delayed|conditioned)|for\s+any\s+reason)"
 LEAST_DOCUMENTS, RARE = 5, 0.1
 
 

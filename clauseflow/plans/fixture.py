@@ -26,7 +26,7 @@ FROM (
         ELSE 'Total aggregate liability shall not exceed the fees of the preceding year.' END
       WHEN 4 THEN 'This agreement shall automatically renew for successive one year terms unless either party gives notice ' || days_text || ' before expiry.'
       WHEN 5 THEN CASE WHEN k % 7 = 0 THEN 'The supplier' ELSE 'Either party' END || ' may terminate this agreement for convenience upon not less than ' || days_text || ' notice.'
-      WHEN 6 THEN 'The supplier is the exclusive distributor ' || CASE WHEN k % 11 = 0 THEN 'worldwide' ELSE 'in ' || nation END || ' for one (1) year.'
+      WHEN 6 THEN 'The supplier is the exclusive distributor ' || CASE WHEN k % 47 = 0 THEN 'worldwide' ELSE 'in ' || nation END || ' for one (1) year.'
       ELSE 'This agreement shall be governed by the laws of ' || nation || '.' END AS clause_text
   FROM (
     SELECT 'C' || CAST(o_custkey AS STRING) AS doc_id, c_name AS party, n_name AS nation, o_orderkey AS k,

@@ -298,10 +298,11 @@ _OUT = "k % 20 IN (1, 2, 3, 4, 5, 6, 7, 12, 13, 14, 15)"
 
 @query(
     "build_findings",
-    f"""WITH p AS ({sql_pages()}), a AS (SELECT *, instr(page_text, clause_text) - 1 AS s, instr(page_text, clause_text) - 1 + length(clause_text) AS e FROM p WHERE NOT ({_OUT}))
-    SELECT 'find-' || substr(sha1(doc_id || '|' || CAST(s AS VARCHAR) || '|' || CAST(e AS VARCHAR) || '|' || clause_type), 1, 16) AS finding_id, clause_type,
-      CAST(s AS INT) AS char_start, CAST(e AS INT) AS char_end, clause_text AS quote, min(CAST(k % 10 AS DOUBLE) / 10 + k * 100) - min(k) * 100 AS confidence
-    FROM a GROUP BY doc_id, s, e, clause_type, clause_text""" if False else None,
+    f"""WITH p AS ({sql_pages()}), a AS (SELECT *, 'cand-' || substr(sha1('chunk-' || CAST(k AS VARCHAR)), 1, 16) AS candidate_id, instr(page_text, clause_text) - 1 AS s FROM p WHERE NOT ({_OUT})),
+    b AS (SELECT *, 'find-' || substr(sha1(doc_id || '|' || CAST(s AS VARCHAR) || '|' || CAST(s + length(clause_text) AS VARCHAR) || '|' || clause_type), 1, 16) AS finding_id FROM a)
+    SELECT finding_id, candidate_id, doc_id, party AS doc_title, clause_type, page_no AS page, CAST(s AS INT) AS char_start, CAST(s + length(clause_text) AS INT) AS char_end,
+      clause_text AS quote, 'Clause ' || CAST(k AS VARCHAR) AS summary, CAST(k % 10 AS DOUBLE) / 10 AS confidence, false AS validated
+    FROM b QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY candidate_id) = 1""",
 )
 def build_findings(spark, sf_dir):
     """Replies to findings; offsets are those of the page, which stands for a chunk here."""
@@ -564,11 +565,17 @@ def gold_spans(spark, sf_dir):
 
 @query(
     "place_findings",
-    f"""WITH f AS ({sql_findings()}) SELECT finding_id, lower(doc_id) AS doc_key, clause_type, CASE WHEN k % 50 IN (2, 4, 5, 8) THEN NULL ELSE CAST(true_page - 1 AS INT) END AS para_ix FROM f WHERE clause_type <> 'mfn' AND clause_type <> 'indemnity_cap' AND k % 2 = 0""" if False else None,
+    f"""{_F}, x AS (SELECT doc_id, page_no, replace(page_text, chr(10), ' ') AS context FROM ({sql_pages()}) AS p),
+    h AS (SELECT f.finding_id, x.page_no - 1 AS para_ix, instr(x.context, trim(regexp_replace(f.quote, '\\s+', ' ', 'g'))) - 1 AS s, length(trim(regexp_replace(f.quote, '\\s+', ' ', 'g'))) AS n
+      FROM f JOIN x ON f.doc_id = x.doc_id WHERE trim(f.quote) <> '' AND contains(x.context, trim(regexp_replace(f.quote, '\\s+', ' ', 'g')))),
+    one AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY para_ix) = 1)
+    SELECT f.finding_id, lower(f.doc_id) AS doc_key, f.clause_type, coalesce(CAST(one.para_ix AS INT), -1) AS para_ix, coalesce(CAST(one.s AS INT), -1) AS start, coalesce(CAST(one.s + one.n AS INT), -1) AS "end"
+    FROM f LEFT JOIN one ON f.finding_id = one.finding_id""",
 )
 def place_findings(spark, sf_dir):
     paragraphs = gold.paragraphs(_nested(spark, sf_dir))
-    return evaluation.place_findings(contract_findings(spark, sf_dir), paragraphs)
+    placed = evaluation.place_findings(contract_findings(spark, sf_dir), paragraphs)
+    return placed.fillna(-1, ["para_ix", "start", "end"])
 
 
 @query("evaluated_documents", f"{_F} SELECT DISTINCT lower(doc_id) AS doc_key FROM f WHERE doc_id LIKE 'C%' UNION SELECT lower(doc_id) FROM ({sql_pages()}) AS p")
@@ -600,7 +607,7 @@ def _valid(spark, sf_dir):
 
 _V = f"{_F}, v AS (SELECT * FROM f WHERE {REASON} IS NULL)"
 _POSITION = """CASE clause_type WHEN 'governing_law' THEN upper(nation) WHEN 'indemnity_cap' THEN CASE WHEN k % 40 = 3 THEN 'uncapped' ELSE 'capped' END
-  WHEN 'exclusivity' THEN CASE WHEN k % 11 = 0 THEN 'worldwide' ELSE 'regional' END
+  WHEN 'exclusivity' THEN CASE WHEN k % 47 = 0 THEN 'worldwide' ELSE 'regional' END
   WHEN 'anti_assignment' THEN CASE WHEN regexp_matches(standard, 'sole|any reason') THEN 'free refusal' WHEN standard LIKE '%unreasonabl%' THEN 'reasonable' ELSE 'other' END
   WHEN 'auto_renewal' THEN CAST(days AS VARCHAR) || ' days' WHEN 'change_of_control' THEN CAST(days AS VARCHAR) || ' days'
   WHEN 'termination_convenience' THEN CASE WHEN k % 7 = 0 THEN 'one party' ELSE 'mutual' END ELSE 'other' END"""
@@ -619,12 +626,12 @@ def period_phrases(spark, sf_dir):
 
 @query(
     "obligations",
-    f"""{_F}, s AS ({_sql_graded('asset')}) SELECT finding_id, clause_type, severity, CASE WHEN clause_type IN ('change_of_control', 'termination_convenience') THEN days END AS deadline_days,
+    f"""{_F}, s AS ({_sql_graded('asset')}) SELECT finding_id, clause_type, severity, CASE WHEN clause_type IN ('change_of_control', 'termination_convenience') THEN days ELSE -1 END AS deadline_days,
       coalesce(clause_type = 'anti_assignment' AND standard LIKE '%sole%', false) AS sole_discretion FROM s
     WHERE clause_type IN ('change_of_control', 'anti_assignment', 'termination_convenience') AND k % 50 NOT IN (5)""",
 )
 def obligations(spark, sf_dir):
-    return portfolio.obligations(_scored(spark, sf_dir)).select("finding_id", "clause_type", "severity", "deadline_days", "sole_discretion")
+    return portfolio.obligations(_scored(spark, sf_dir)).select("finding_id", "clause_type", "severity", F.coalesce("deadline_days", F.lit(-1)).alias("deadline_days"), "sole_discretion")
 
 
 @query("calendar", f"{_V} SELECT finding_id, clause_type, clause_type = 'auto_renewal' AS renews_by_itself, CASE WHEN clause_type = 'exclusivity' THEN 365 ELSE days END AS window_days FROM v WHERE clause_type IN ('auto_renewal', 'change_of_control', 'termination_convenience', 'exclusivity')")
@@ -645,15 +652,19 @@ def verify_names(spark, sf_dir):
 
 @query(
     "counterparty_rollup",
-    f"""{_F}, s AS ({_sql_graded('asset')}), n AS (SELECT doc_id, 'Group ' || right(party, 2) AS party FROM ({sql_pages()}) AS p WHERE page_no = 1 AND k % 4 <> 0)
-    SELECT n.party, count(DISTINCT n.doc_id) AS contracts, min({_RANK}) AS worst_rank,
-      count(DISTINCT CASE WHEN clause_type IN ('change_of_control', 'anti_assignment') AND severity IN ('blocking', 'consent_required') THEN n.doc_id END) AS gating_contracts,
-      coalesce(string_agg(DISTINCT CASE WHEN clause_type = 'governing_law' AND k % 50 NOT IN (2, 5, 8) THEN upper(nation) END, '; ' ORDER BY CASE WHEN clause_type = 'governing_law' AND k % 50 NOT IN (2, 5, 8) THEN upper(nation) END), '') AS governing_laws
-    FROM n LEFT JOIN s ON n.doc_id = s.doc_id GROUP BY n.party""" if False else None,
+    f"""{_F}, s AS ({_sql_graded('asset')}), n AS (SELECT doc_id, 'Group ' || right(party, 2) AS party FROM ({sql_pages()}) AS p WHERE page_no = 1 AND k % 4 <> 0),
+    j AS (SELECT n.party, n.doc_id, s.severity, CASE WHEN clause_type = 'governing_law' THEN CASE WHEN k % 50 = 5 THEN 'other' ELSE upper(nation) END END AS law,
+      clause_type IN ('change_of_control', 'anti_assignment') AND severity IN ('blocking', 'consent_required') AS gate,
+      CASE WHEN clause_type = 'anti_assignment' AND k % 50 <> 5 THEN nullif(regexp_extract(standard, '(sole discretion|not to be unreasonably withheld|not unreasonably delayed|for any reason)', 1), '') END AS wording
+      FROM n LEFT JOIN s ON n.doc_id = s.doc_id)
+    SELECT party, count(DISTINCT doc_id) AS contracts, coalesce(CAST(min(CASE WHEN severity IS NOT NULL THEN {_RANK} END) AS INT), -1) AS worst_rank,
+      coalesce(array_to_string(list_sort(list_distinct(list(law) FILTER (law IS NOT NULL))), '; '), '') AS governing_laws, count(DISTINCT CASE WHEN gate THEN doc_id END) AS gating_contracts,
+      coalesce(array_to_string(list_sort(list_distinct(list(wording) FILTER (gate AND wording IS NOT NULL))), '; '), '') AS consent_standards,
+      count(DISTINCT doc_id) > 1 AND count(DISTINCT CASE WHEN gate THEN doc_id END) > 1 AS concentrated FROM j GROUP BY party""",
 )
 def counterparty_rollup(spark, sf_dir):
     verified = portfolio.verify_names(_names(spark, sf_dir), _contracts(spark, sf_dir))
-    return portfolio.counterparty_rollup(verified, _scored(spark, sf_dir))
+    return portfolio.counterparty_rollup(verified, _scored(spark, sf_dir)).fillna(-1, ["worst_rank"])
 
 
 @query("position_distribution", f"{_DIST} SELECT * FROM r")
