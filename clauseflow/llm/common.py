@@ -48,3 +48,22 @@ def utf8(column: str) -> "F.Column":
 
 def sha256(column: str) -> "F.Column":
     return F.sha2(F.col(column), 256)
+
+
+#: Slots of the bitmap that ``sift`` broadcasts: 2^23 bits are one MB, whatever the data's size.
+SLOTS = 1 << 23
+
+
+def sift(rows: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
+    """rows whose ``column`` may be among ``wanted[key]``: all that are, and few others while the
+    wanted keys are few. What is left is then joined exactly; its point is not to shuffle the rest.
+
+    The keys' hashes set bits of a bitmap of fixed size, which is small enough to broadcast.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)) + 1
+    bits = wanted.where(F.col(key).isNotNull()).select(slot(key).alias("__slot"))
+    maps = bits.groupBy(F.bitmap_bucket_number("__slot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits"))
+    at = F.bitmap_bit_position(slot(column))
+    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(slot(column)) == F.col("__bucket"))
+    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return joined.where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).select(*rows.columns)

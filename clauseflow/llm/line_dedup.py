@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import sift, stored, table
 
 LEAST, GRID = 20, 128
 
@@ -57,21 +57,17 @@ def _distinct(lines: DataFrame) -> DataFrame:
 
 def _places(distinct: DataFrame) -> DataFrame:
     """(at, n, lo, hi, deleted): for lines with a fitting partner, where variants are needed."""
-    kinds = [F.struct((F.col("n") + i).alias("c"), F.lit(k).alias("kind"), F.col(f"{k}{i}").alias("half")) for i in (0, 1) for k in "ps"]
-    halves = distinct.select("at", "n", F.inline(F.array(*kinds)))
-    shared = (
-        halves.groupBy("c", "kind", "half")
-        .agg(F.count("*").alias("lines"), F.count_if(F.col("n") == F.col("c")).alias("long"))
-        .where("lines > 1 AND long > 0")
-        .select("c", "kind", "half", "lines", "long")
-    )
-    met = halves.join(shared, ["c", "kind", "half"])
+    # slots 0 and 1 are the halves under the line's own length, 2 and 3 those under one more
+    halves = distinct.select("at", "n", F.posexplode(F.array("p0", "s0", "p1", "s1")).alias("slot", "half"))
+    shared = halves.groupBy("half").agg(F.count("*").alias("lines"), F.count_if(F.col("slot") < 2).alias("long"))
+    met = halves.join(shared.where("lines > 1 AND long > 0").select("half"), "half", "left_semi")
+    met = met.withColumn("c", F.when(F.col("slot") < 2, F.col("n")).otherwise(F.col("n") + 1)).withColumn("first", F.col("slot") % 2 == 0)
     half = F.floor((F.col("c") - 1) / 2).cast("int")
     return met.select(
         "at",
         "n",
-        F.when(F.col("kind") == "p", half).otherwise(0).alias("lo"),
-        F.when(F.col("kind") == "p", F.col("n")).otherwise(F.col("n") - half).alias("hi"),
+        F.when(F.col("first"), half).otherwise(0).alias("lo"),
+        F.when(F.col("first"), F.col("n")).otherwise(F.col("n") - half).alias("hi"),
         (F.col("n") == F.col("c")).alias("deleted"),
     ).distinct()
 
@@ -117,7 +113,9 @@ def near_lines(docs: DataFrame, distinct: DataFrame, key: str = "doc_id", text:
     places = stored(_places(distinct), "places")
     wanted = places.select("at").distinct().select(F.col("at.key").alias("key"), "at")
     by_doc = wanted.groupBy("key").agg(F.collect_list("at").alias("ats"))
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(by_doc, "key")
+    by_doc = stored(by_doc, "places-by-doc")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    texts = sift(rows, "key", by_doc, "key").join(by_doc, "key")
     texts = texts.select(F.split("text", "\n", -1).alias("lines"), F.explode("ats").alias("at"))
     texts = stored(texts.select("at", F.get("lines", F.col("at.no")).alias("line")).where("line IS NOT NULL").distinct(), "candidates")
     emitted = _variants(places.join(texts, "at"))
