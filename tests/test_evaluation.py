@@ -41,10 +41,10 @@ def test_place_and_counts(spark, tmp_path):
     rows = [("f0", "Deal One.txt", "indemnity_cap", "Liability is capped\nat fees."), ("f1", "deal_one", "indemnity_cap", "nowhere"), ("f2", "other", "mfn", "x"), ("f3", "deal one", "nonsense", "x"), ("f4", "deal one", "indemnity_cap", "Again")]
     findings = spark.createDataFrame(rows, "finding_id string, doc_id string, clause_type string, quote string")
     placed = {r.finding_id: (r.para_ix, r.start, r.end) for r in V.place_findings(findings, paragraphs).collect()}
-    assert placed == {"f0": (0, 7, 35), "f1": (None, None, None), "f4": (1, 0, 5)}
+    assert placed == {"f0": (0, 7, 35), "f1": (None, None, None), "f2": (None, None, None), "f4": (1, 0, 5)}
     inside = V.evaluated_documents(findings, paragraphs)
     assert [r.doc_key for r in inside.collect()] == ["dealone"]
-    table = V.place_findings(findings, paragraphs)
+    table = V.place_findings(findings, paragraphs).join(inside, "doc_key", "left_semi")
     row = V.eval_counters(findings, inside, paragraphs, table, G.gold_spans(paragraphs)).first()
     assert (row.documents_evaluated, row.documents_annotated, row.findings_total, row.findings_outside, row.unlocatable_findings, row.unlocatable_gold) == (1, 1, 4, 1, 1, 1)
     result = {r.clause_type: r for r in V.evaluate(findings, paragraphs, G.gold_spans(paragraphs)).collect()}
