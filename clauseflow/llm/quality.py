@@ -13,7 +13,6 @@ without labels of both classes every score is the share of label 1 (0.5 if there
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 

@@ -12,7 +12,6 @@ lose bytes nor count as places. Keys should be unique; rows that share one share
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
