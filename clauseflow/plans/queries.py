@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import periods, terms, text
 from ..operators import documents, evaluation, extraction, gate, portfolio, reports, screening, severity
-from ..schemas import CLAUSE_TYPES
-from ..sources import gold
+from ..schemas import CLAUSE_TERMS, CLAUSE_TYPES, FINDINGS, REQUIRED
+from ..sources import gold, scratch, stages
 from ..sources.vocabulary import PATTERNS
 from .fixture import REASON, contract_findings, contract_pages, sql_findings, sql_pages
 
@@ -78,7 +78,7 @@ def _sql_stated(key: str) -> str:
     return f"coalesce(trim(json_extract_string(terms_json, '$.{key}')) <> '', false)"
 
 
-def _sql_graded(deal: str) -> str:
+def _sql_graded(deal: str, source: str = "f") -> str:
     """Findings that count, with severity and reason, in SQL."""
     rules = {
         "stock": [
@@ -98,7 +98,7 @@ def _sql_graded(deal: str) -> str:
     }[deal]
     grade = " ".join(f"WHEN {c} THEN '{s}'" for c, s, _ in rules)
     why = " ".join(f"WHEN {c} THEN {r}" for c, _, r in rules)
-    return f"SELECT *, CASE {grade} ELSE 'note' END AS severity, CASE {why} ELSE 'base:' || clause_type || '/{deal}' END AS severity_reason, confidence < 0.5 AS low_confidence FROM f WHERE validated"
+    return f"SELECT *, CASE {grade} ELSE 'note' END AS severity, CASE {why} ELSE 'base:' || clause_type || '/{deal}' END AS severity_reason, confidence < 0.5 AS low_confidence FROM {source} WHERE validated"
 
 
 _S = f"{_F}, s AS ({_sql_graded('asset')})"
@@ -197,6 +197,38 @@ def preambles(spark, sf_dir):
     return documents.preambles(_contracts(spark, sf_dir))
 
 
+@query("stage_round_trip", f"{_F} SELECT finding_id, doc_id, clause_type, page, char_start, char_end, quote, summary, confidence FROM f")
+def stage_round_trip(spark, sf_dir):
+    """Findings as JSON lines, written and read back with their schema and required fields."""
+    path = scratch.fresh_path(spark, "findings")
+    names = [f.name for f in spark.createDataFrame([], FINDINGS).schema]
+    stages.write_stage(contract_findings(spark, sf_dir).select(*names), path)
+    rows = stages.read_stage(spark, path, FINDINGS, REQUIRED["findings"])
+    return rows.select("finding_id", "doc_id", "clause_type", "page", "char_start", "char_end", "quote", "summary", "confidence")
+
+
+@query("documents_round_trip", f"{_P}, w AS (SELECT DISTINCT doc_id FROM ({sql_findings()}) AS f) SELECT w.doc_id, coalesce(sha1(full_text), '') AS text_sha FROM w LEFT JOIN d ON w.doc_id = d.doc_id")
+def documents_round_trip(spark, sf_dir):
+    """Full texts by document, for the documents that findings cite; an unknown one has no text."""
+    path = scratch.fresh_path(spark, "documents")
+    stages.write_documents(_contracts(spark, sf_dir), path)
+    rows = stages.read_documents(spark, path, contract_findings(spark, sf_dir).select("doc_id").distinct())
+    return rows.select("doc_id", F.coalesce(F.sha1(F.col("full_text").cast("binary")), F.lit("")).alias("text_sha"))
+
+
+@query("issues_csv", f"{_S} SELECT finding_id, severity, CASE WHEN starts_with(summary, '=') THEN chr(39) || summary ELSE summary END AS summary FROM s")
+def issues_csv(spark, sf_dir):
+    """The issues list as a file with a header, read back as a spreadsheet would."""
+    path = scratch.fresh_path(spark, "issues")
+    stages.write_issues(reports.issues_list(_scored(spark, sf_dir)), path)
+    return spark.read.option("header", True).option("escape", '"').csv(path).select("finding_id", "severity", "summary")
+
+
+@query("normalize_doc_keys", r"""SELECT page_id, regexp_replace(lower(regexp_replace(url, '(?i)\.(pdf|txt|json)$', '')), '[^a-z0-9]+', '', 'g') AS doc_key FROM pages""")
+def normalize_doc_keys(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", gold.normalize_doc_key(F.col("url")).alias("doc_key"))
+
+
 # --- screening ------------------------------------------------------------------------------------
 
 
@@ -328,12 +360,26 @@ def extraction_errors(spark, sf_dir):
     return extraction.error_summary(extraction.extraction_errors(none, _located(spark, sf_dir)))
 
 
-@query("render_prompt")
+_GUIDE = ", ".join(f"'{c}': '- {c}: {', '.join(keys)}'" for c, keys in CLAUSE_TERMS.items())
+
+
+@query(
+    "render_prompt",
+    f"""{_sql_screened(PATTERNS)} SELECT 'cand-' || substr(sha1('chunk-' || CAST(c.k AS VARCHAR)), 1, 16) AS candidate_id,
+      '{extraction.PROMPT_HEAD}' || 'Hints: ' || array_to_string(hints, ', ') || chr(10) || 'Terms:' || chr(10)
+      || array_to_string(list_transform(hints, lambda h: (MAP {{{_GUIDE}}})[h]), chr(10)) || chr(10) || 'Document: ' || p.party || chr(10) || 'TEXT:' || chr(10) || '<<<' || chr(10) || p.page_text || chr(10) || '>>>' || chr(10) AS prompt
+    FROM c JOIN p ON c.k = p.k""",
+)
 def render_prompt(spark, sf_dir):
     return extraction.render_prompt(_extraction_candidates(spark, sf_dir))
 
 
-@query("complete_replies")
+@query(
+    "complete_replies",
+    f"""WITH p AS ({sql_pages()}) SELECT 'cand-' || substr(sha1('chunk-' || CAST(k AS VARCHAR)), 1, 16) AS candidate_id, CASE WHEN k % 8 NOT IN (3, 6) THEN '{{"findings": []}}' END AS reply,
+      CASE k % 8 WHEN 3 THEN 'request' WHEN 6 THEN 'parse' END AS stage, CASE k % 8 WHEN 3 THEN 'ConnectionError: the server is away' WHEN 6 THEN 'unparseable after one repair attempt' END AS error,
+      CASE WHEN k % 8 = 6 THEN 'thinking' END AS raw FROM p""",
+)
 def complete_replies(spark, sf_dir):
     """The model hook with a stub that answers from the prompt alone."""
 
@@ -459,7 +505,12 @@ def issues_list(spark, sf_dir):
     return reports.issues_list(_scored(spark, sf_dir))
 
 
-@query("red_flag_review")
+@query(
+    "red_flag_review",
+    f"""{_F}, g AS (SELECT * REPLACE (true AS validated, true_page AS page) FROM f WHERE {REASON} IS NULL), s AS ({_sql_graded('asset', 'g')})
+    SELECT doc_id, doc_title, page, clause_type, severity, severity_reason, confidence, CASE WHEN low_confidence THEN 'yes' ELSE 'no' END AS low_confidence,
+      {_QUOTE} AS quote, CASE WHEN starts_with(summary, '=') THEN '''' || summary ELSE summary END AS summary, {_RENDERED} AS terms_rendered, char_start, char_end, finding_id FROM s""",
+)
 def red_flag_review(spark, sf_dir):
     """The whole way: pages and findings, the gate, severity, the issues list."""
     good, _ = gate.split_validated(_checked(spark, sf_dir))
@@ -589,7 +640,14 @@ def evaluate_contracts(spark, sf_dir):
     return evaluation.evaluate(contract_findings(spark, sf_dir), paragraphs, gold.gold_spans(paragraphs))
 
 
-@query("eval_counters")
+@query(
+    "eval_counters",
+    f"""{_F}, x AS (SELECT doc_id, replace(page_text, chr(10), ' ') AS context FROM ({sql_pages()}) AS p),
+    h AS (SELECT DISTINCT f.finding_id FROM f JOIN x ON f.doc_id = x.doc_id WHERE trim(f.quote) <> '' AND contains(x.context, trim(regexp_replace(f.quote, '\\s+', ' ', 'g'))))
+    SELECT (SELECT count(DISTINCT doc_id) FROM f WHERE doc_id LIKE 'C%') AS documents_evaluated, (SELECT count(DISTINCT doc_id) FROM x) AS documents_annotated, count(*) AS findings_total,
+      count(*) FILTER (doc_id LIKE 'X%') AS findings_outside, count(*) FILTER (doc_id LIKE 'C%' AND finding_id NOT IN (SELECT finding_id FROM h)) AS unlocatable_findings,
+      (SELECT count(*) FROM f AS g WHERE g.k % 7 = 0 AND g.k % 11 <> 0 AND lower(replace(g.doc_id, 'X', '')) IN (SELECT lower(doc_id) FROM f WHERE doc_id LIKE 'C%')) AS unlocatable_gold FROM f""",
+)
 def eval_counters(spark, sf_dir):
     findings, paragraphs = contract_findings(spark, sf_dir), gold.paragraphs(_nested(spark, sf_dir))
     inside = evaluation.evaluated_documents(findings, paragraphs)
