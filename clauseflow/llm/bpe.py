@@ -1,13 +1,14 @@
 """BPE encoding and decoding through a distinct-word table.
 
-Documents are dealt to groups of bounded size by a hash of their key. Spark splits the texts into
-words as the tokenizer's pre-tokenizer does and keeps each group's distinct words; each distinct
-word of the corpus is encoded once, by the tokenizers library; the (word, ids) rows are joined back
-to the groups, where ids are laid out by position. Decoding joins ids to pieces, a table as large
-as the vocabulary (so its size is bounded), and concatenates their bytes.
+Texts are split into words as the tokenizer's pre-tokenizer does; each distinct word is encoded
+once, by the tokenizers library, and its ids are laid out at the word's positions. Decoding joins
+ids to pieces, a table as large as the vocabulary (so its size is bounded), by an Arrow gather.
 
-Joining every word occurrence instead would shuffle some forty bytes for each word of the corpus;
-by group, a word moves once for each group that has it.
+``encode`` keeps the distinct-word table of each task: it fills as the task's batches come, and is
+emptied when it holds ``KNOWN_WORDS``. Nothing is shuffled. ``encode_joined`` makes one table of the
+whole corpus instead: documents are dealt to groups of bounded size, each group's distinct words
+are joined to the corpus's distinct words, which are encoded once, and the ids are laid out group
+by group. It moves every text once and every word once per group; the README has its figures.
 
 Special tokens that stand in a text are encoded as such, as the library does by default.
 
@@ -18,8 +19,11 @@ task; repeated rows are encoded alike; rows with a null key are encoded too.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, stored, table
 
-GROUP_CHARS = 1 << 23
+GROUP_CHARS, KNOWN_WORDS = 1 << 23, 1 << 18
 
 #: Fixed: the pattern by which byte-level BPE of this kind splits a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -82,18 +86,22 @@ def splitter(special: list[str]):
     return split
 
 
+def loaded(path: str):
+    """The library's tokenizer without truncation and padding, and without threads of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    return tokenizer
+
+
 def _encode_words(words: DataFrame, path: str) -> DataFrame:
     """words(word), distinct -> (word, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_padding()
-        tokenizer.no_truncation()
+        tokenizer = loaded(path)
         for batch in batches:
             found = tokenizer.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.ids for f in found], pa.list_(pa.int32()))], names=["word", "ids"])
@@ -102,6 +110,31 @@ def _encode_words(words: DataFrame, path: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids array<int>) for every row of docs; a narrow map."""
+    special = list(Vocabulary(path).special)
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, split, known = loaded(path), splitter(special), {}
+        for batch in batches:
+            placed = [split(t) for t in batch.column(1).to_pylist()]
+            new = list(set(chain.from_iterable(placed)).difference(known))
+            if len(known) + len(new) > KNOWN_WORDS:
+                known = {}
+                new = list(set(chain.from_iterable(placed)))
+            known.update(zip(new, (f.ids for f in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            laid = [list(chain.from_iterable(map(known.__getitem__, words))) for words in placed]
+            ends = np.cumsum([0, *map(len, laid)])
+            flat = np.fromiter(chain.from_iterable(laid), np.int32, ends[-1])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["key", "ids"])
+
+    batches_of(docs.sparkSession)
+    return rows.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+
+
+def encode_joined(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>) for every row of docs."""
     vocabulary = Vocabulary(path)
     special = list(vocabulary.special)
@@ -154,10 +187,16 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     pieces = encoded.sparkSession.sparkContext.broadcast(Vocabulary(path).pieces())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces.value.__getitem__
+        table_of = pa.array(pieces.value, pa.large_binary())
         for batch in batches:
-            found = [b"".join(map(piece, ids)) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=["key", "ids", "decoded"])
+            ids = batch.column(1)
+            found = table_of.take(ids.flatten())
+            # the gathered pieces lie one after another: a row's text is one cut of their bytes
+            raw = memoryview(found.buffers()[2]) if len(found) else b""
+            starts = np.frombuffer(found.buffers()[1], np.int64)[found.offset :] if len(found) else np.zeros(1, np.int64)
+            ends = starts[np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()])]
+            cut = [bytes(raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cut, pa.binary())], names=["key", "ids", "decoded"])
 
     kind = encoded.schema[key].dataType.simpleString()
     rows = encoded.select(F.col(key).alias("key"), "ids")
