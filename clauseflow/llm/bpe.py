@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, stored, table
 
-GROUP_CHARS, KNOWN_WORDS = 1 << 23, 1 << 18
+GROUP_CHARS, KNOWN_WORDS = 1 << 23, 1 << 19
 
 #: Fixed: the pattern by which byte-level BPE of this kind splits a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -123,10 +124,12 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             if len(known) + len(new) > KNOWN_WORDS:
                 known = {}
                 new = list(set(chain.from_iterable(placed)))
-            known.update(zip(new, (f.ids for f in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            laid = [list(chain.from_iterable(map(known.__getitem__, words))) for words in placed]
-            ends = np.cumsum([0, *map(len, laid)])
-            flat = np.fromiter(chain.from_iterable(laid), np.int32, ends[-1])
+            # ids are kept as bytes, four for each, so that laying them out is one join
+            found = (array("i", f.ids).tobytes() for f in tokenizer.encode_batch_fast(new, add_special_tokens=False))
+            known.update(zip(new, found, strict=True))
+            laid = [b"".join(map(known.__getitem__, words)) for words in placed]
+            ends = np.cumsum([0, *map(len, laid)]) // 4
+            flat = np.frombuffer(b"".join(laid), np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["key", "ids"])
 
