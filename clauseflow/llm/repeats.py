@@ -12,8 +12,11 @@ distinct phrases. Only phrases whose trigger occurs twice can hold a repeated wi
 * if all occurrences of a trigger are one phrase, the parse alone settles it;
 * otherwise the distinct phrases' contents are fetched and compared trigger by trigger, in shards
   of bounded size (a suffix array or a suffix automaton; ``rows`` phrases or one trigger's);
-* a trigger with more than ``crowded`` distinct phrases is not gathered: its windows are hashed one
-  by one and aggregated, which is exact too (128-bit hashes) and has no hot group.
+* a trigger with more distinct phrases than a shard holds is not gathered: its windows are hashed
+  one by one, once, and aggregated, which is exact too (128-bit hashes) and has no hot group.
+
+In periodic text every period is a phrase of its own, equal to the one before; such runs are one row
+of the parse with a count (``times``), so they make no hot trigger.
 
 Everything is shuffled by trigger or by document, as small rows; whole texts move twice, by
 document. A document's own phrases are its size at most.
@@ -67,16 +70,17 @@ def _least(keys: np.ndarray, span: int) -> np.ndarray:
 
 
 def phrases(chunk: list[tuple[int, int, np.ndarray]], k: int, window: int) -> tuple[np.ndarray, ...]:
-    """chunk: (row, base, units) tiles -> row, first, windows, trigger's distance, its hash, content.
+    """chunk: (row, base, units) tiles -> row, first, windows, times, trigger's distance, its hash,
+    content.
 
-    ``first`` is the first window's place in the document and ``content`` two 64-bit halves of the
-    phrase's hash.
+    ``first`` is the first window's place in the document, ``times`` how often the phrase follows
+    upon itself there, and ``content`` two 64-bit halves of the phrase's hash.
     """
     units = np.concatenate([u for _, _, u in chunk])
     sizes = np.array([len(u) for _, _, u in chunk])
     ends = np.cumsum(sizes)
     n = len(units)
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64)) + (np.zeros((0, 2), np.int64),)
+    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64, np.int64)) + (np.zeros((0, 2), np.int64),)
     if n < window:
         return empty
     mask = np.uint64((1 << max(1, int(n).bit_length())) - 1)
@@ -100,7 +104,11 @@ def phrases(chunk: list[tuple[int, int, np.ndarray]], k: int, window: int) -> tu
     content = _digests(units, first, first + count + window - 1)
     rows = np.array([r for r, _, _ in chunk])[tile]
     base = np.array([b for _, b, _ in chunk], np.int64)[tile] - starts[tile]
-    return rows, first + base, count, trigger - first, grams[trigger].view(np.int64), content
+    first, ahead, hashed = first + base, trigger - first, grams[trigger].view(np.int64)
+    same = (rows[1:] == rows[:-1]) & (first[1:] == first[:-1] + count[:-1]) & (count[1:] == count[:-1]) & (hashed[1:] == hashed[:-1]) & (content[1:] == content[:-1]).all(axis=1)
+    kept = np.flatnonzero(np.concatenate([[True], ~same]))
+    times = np.diff(np.append(kept, len(rows)))
+    return rows[kept], first[kept], count[kept], times, ahead[kept], hashed[kept], content[kept]
 
 
 def _digests(units: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -136,22 +144,22 @@ def _tiles(texts: list[bytes], units: Units, window: int) -> Iterator[list[tuple
 def parse(docs: DataFrame, units: Units, k: int, window: int) -> DataFrame:
     """docs(key, text binary) -> a row for each phrase occurrence, without its text."""
     kind = docs.schema["key"].dataType.simpleString()
-    names = ["key", "first", "windows", "ahead", "trigger", "c1", "c2"]
+    names = ["key", "first", "windows", "times", "ahead", "trigger", "c1", "c2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0)
             for chunk in _tiles(batch.column(1).to_pylist(), units, window):
-                rows, first, count, ahead, trigger, content = phrases(chunk, k, window)
-                arrays = [pa.array(x, t) for x, t in ((first, pa.int32()), (count, pa.int32()), (ahead, pa.int32()), (trigger, pa.int64()), (content[:, 0], pa.int64()), (content[:, 1], pa.int64()))]
+                rows, first, count, times, ahead, trigger, content = phrases(chunk, k, window)
+                arrays = [pa.array(x, t) for x, t in ((first, pa.int32()), (count, pa.int32()), (times, pa.int32()), (ahead, pa.int32()), (trigger, pa.int64()), (content[:, 0], pa.int64()), (content[:, 1], pa.int64()))]
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), *arrays], names=names)
 
     batches_of(docs.sparkSession)
-    schema = f"key {kind}, first int, windows int, ahead int, trigger bigint, c1 bigint, c2 bigint"
+    schema = f"key {kind}, first int, windows int, times int, ahead int, trigger bigint, c1 bigint, c2 bigint"
     return docs.where("key IS NOT NULL").mapInArrow(run, schema)
 
 
-def repeated(docs: DataFrame, units: Units, piece: Callable[[bytes, list[tuple[int, int]]], list[bytes]], shard: Callable, k: int, window: int, crowded: int = 512, rows: int = 4096) -> DataFrame:
+def repeated(docs: DataFrame, units: Units, piece: Callable[[bytes, list[tuple[int, int]]], list[bytes]], shard: Callable, k: int, window: int, rows: int = 4096) -> DataFrame:
     """(key, first, lo, hi, least, copies): windows lo..hi (from the phrase's first one, inclusive)
     that start ``copies`` times in all, ``least`` being the least key that holds them.
 
@@ -161,11 +169,11 @@ def repeated(docs: DataFrame, units: Units, piece: Callable[[bytes, list[tuple[i
     """
     kind = docs.schema["key"].dataType.simpleString()
     found = stored(parse(docs, units, k, window), "parse")
-    often = found.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger")
+    often = found.groupBy("trigger").agg(F.sum("times").alias("n")).where("n > 1").select("trigger")
     occurrences = stored(found.join(often, "trigger", "left_semi"), "occurrences")
     words = ["trigger", "c1", "c2"]
     dictionary = occurrences.groupBy(*words).agg(
-        F.count("*").alias("copies"), F.min("key").alias("least"), F.min(F.struct("key", "first", "windows", "ahead")).alias("at")
+        F.sum("times").alias("copies"), F.min("key").alias("least"), F.min(F.struct("key", "first", "windows", "ahead")).alias("at")
     )
     dictionary = stored(dictionary, "dictionary")
     kinds = dictionary.groupBy("trigger").agg(F.count("*").alias("kinds"))
@@ -175,7 +183,7 @@ def repeated(docs: DataFrame, units: Units, piece: Callable[[bytes, list[tuple[i
 
     wanted = sized.where("kinds > 1").select(
         F.col("at.key").alias("key"),
-        F.struct("trigger", "c1", "c2", F.col("at.first").alias("first"), F.col("at.windows").alias("windows"), F.col("at.ahead").alias("ahead"), "copies", "least", (F.col("kinds") > crowded).alias("crowd")).alias("phrase"),
+        F.struct("trigger", "c1", "c2", F.col("at.first").alias("first"), F.col("at.windows").alias("windows"), F.col("at.ahead").alias("ahead"), "copies", "least", (F.col("kinds") > rows).alias("crowd")).alias("phrase"),
     )
     by_doc = wanted.groupBy("key").agg(F.collect_list("phrase").alias("phrases"))
     contents = stored(_contents(by_doc.join(docs, "key"), kind, units, piece, window), "contents")
@@ -183,13 +191,19 @@ def repeated(docs: DataFrame, units: Units, piece: Callable[[bytes, list[tuple[i
     shards = contents.where("NOT crowd").drop("crowd").repartition("trigger").sortWithinPartitions("trigger")
     compared = _compared(shards, kind, shard, rows)
 
-    windows = _hashed(contents.where("crowd"), kind, units, window)
+    windows = stored(_hashed(contents.where("crowd"), kind, units, window), "windows")
     totals = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("copies"), F.min("least").alias("least")).where("copies > 1")
     single = windows.drop("copies", "least").join(totals, ["w1", "w2"])
     hashed = single.groupBy(*words).agg(F.collect_list(F.struct(F.col("at").alias("lo"), F.col("at").alias("hi"), "copies", "least")).alias("ranges"))
 
     ranges = alone.union(compared.select(alone.columns)).union(hashed.select(alone.columns))
-    return occurrences.join(ranges, words).select("key", "first", F.inline("ranges"))
+    met = occurrences.join(ranges, words).select("key", "first", "windows", "times", F.inline("ranges"))
+    # a range of the whole phrase goes on through all its times, any other starts anew each time
+    through = (F.col("lo") == 0) & (F.col("hi") == F.col("windows") - 1)
+    starts = F.when(through, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("times") - 1))
+    last = F.when(through, F.col("times") * F.col("windows") - 1).otherwise(F.col("hi"))
+    each = met.select("key", "first", "windows", "lo", last.alias("hi"), "copies", "least", F.explode(starts).alias("i"))
+    return each.select("key", (F.col("first") + F.col("i") * F.col("windows")).alias("first"), "lo", "hi", "copies", "least")
 
 
 def _contents(rows: DataFrame, kind: str, units: Units, piece, window: int) -> DataFrame:
