@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, stored, table
 
-GROUP_CHARS, KNOWN_WORDS = 1 << 23, 1 << 19
+GROUP_CHARS, KNOWN_WORDS, BATCH = 1 << 23, 1 << 18, 500
 
 #: Fixed: the pattern by which byte-level BPE of this kind splits a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -110,31 +110,58 @@ def _encode_words(words: DataFrame, path: str) -> DataFrame:
     return words.mapInArrow(run, "word string, ids array<int>")
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<int>) for every row of docs; a narrow map."""
+Batches = Iterator[pa.RecordBatch]
+
+
+def _encoder(path: str):
+    """batches(key, text) -> batches(key, ids)."""
     special = list(Vocabulary(path).special)
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         tokenizer, split, known = loaded(path), splitter(special), {}
+
+        def learn(words: list[str]) -> None:
+            # few at a time: what the library returns for a word is far larger than its ids, which
+            # are kept as bytes, four for each, so that laying them out is one join
+            for at in range(0, len(words), 4096):
+                part = words[at : at + 4096]
+                known.update((w, array("i", f.ids).tobytes()) for w, f in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+
         for batch in batches:
             placed = [split(t) for t in batch.column(1).to_pylist()]
-            new = list(set(chain.from_iterable(placed)).difference(known))
+            words = set(chain.from_iterable(placed))
+            new = words.difference(known)
             if len(known) + len(new) > KNOWN_WORDS:
-                known = {}
-                new = list(set(chain.from_iterable(placed)))
-            # ids are kept as bytes, four for each, so that laying them out is one join
-            found = (array("i", f.ids).tobytes() for f in tokenizer.encode_batch_fast(new, add_special_tokens=False))
-            known.update(zip(new, found, strict=True))
+                known.clear()
+                new = words
+            learn(list(new))
             laid = [b"".join(map(known.__getitem__, words)) for words in placed]
             ends = np.cumsum([0, *map(len, laid)]) // 4
             flat = np.frombuffer(b"".join(laid), np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["key", "ids"])
 
-    batches_of(docs.sparkSession)
-    return rows.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return run
+
+
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids array<int>) for every row of docs; a narrow map."""
+    kind = docs.schema[key].dataType.simpleString()
+    batches_of(docs.sparkSession, BATCH)
+    return _rows(docs, key, text).mapInArrow(_encoder(path), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+
+
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one pass of Python: half the workers, and ids cross over once."""
+    encoder, decoder = _encoder(path), _decoder(docs.sparkSession, path)
+    kind = docs.schema[key].dataType.simpleString()
+    batches_of(docs.sparkSession, BATCH)
+    both = _rows(docs, key, text).mapInArrow(lambda batches: decoder(encoder(batches)), f"key {kind}, ids array<int>, decoded binary")
+    return both.withColumnRenamed("key", key)
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def encode_joined(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,14 +209,11 @@ def encode_joined(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     return pairs.applyInArrow(place, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
-def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
-    """(key, ids) -> the same with ``decoded``, the bytes of the ids' pieces (binary).
-
-    The pieces go to every task: they are as many as the vocabulary has.
-    """
-    pieces = encoded.sparkSession.sparkContext.broadcast(Vocabulary(path).pieces())
+def _decoder(spark, path: str):
+    """batches(key, ids) -> batches(key, ids, decoded)."""
+    pieces = spark.sparkContext.broadcast(Vocabulary(path).pieces())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         table_of = pa.array(pieces.value, pa.large_binary())
         for batch in batches:
             ids = batch.column(1)
@@ -201,9 +225,17 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
             cut = [bytes(raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cut, pa.binary())], names=["key", "ids", "decoded"])
 
+    return run
+
+
+def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+    """(key, ids) -> the same with ``decoded``, the bytes of the ids' pieces (binary).
+
+    The pieces go to every task: they are as many as the vocabulary has.
+    """
     kind = encoded.schema[key].dataType.simpleString()
     rows = encoded.select(F.col(key).alias("key"), "ids")
-    return rows.mapInArrow(run, f"key {kind}, ids array<int>, decoded binary").withColumnRenamed("key", key)
+    return rows.mapInArrow(_decoder(encoded.sparkSession, path), f"key {kind}, ids array<int>, decoded binary").withColumnRenamed("key", key)
 
 
 def digests(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -213,4 +245,4 @@ def digests(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def op6_bpe_round_trip(spark, sf_dir):
     path = vocabulary_path()
-    return digests(decode(encode(table(spark, sf_dir, "documents"), path), path))
+    return digests(round_trip(table(spark, sf_dir, "documents"), path))
