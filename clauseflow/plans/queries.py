@@ -317,7 +317,7 @@ def _replies(spark, sf_dir):
         .otherwise(listed)
     )
     key = text.stable_id("cand", F.concat(F.lit("chunk-"), k.cast("string")))
-    return pages.select(key.alias("candidate_id"), reply.alias("reply"))
+    return extraction.pinned(pages, "reply", reply).select(key.alias("candidate_id"), "reply")
 
 
 def _located(spark, sf_dir):
