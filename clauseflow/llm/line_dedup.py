@@ -13,8 +13,9 @@ Few lines need variants. An edit spares the first or the last half of a line, so
 neither half with another line of fitting length emit nothing, and the others only at places in the
 half that may differ. That test is exact as well: lines of length c and c - 1 meet under c.
 
-Defined cases: null is no line and stays null; lines under ``least`` characters always stay, so
-blank lines do; texts split at line feeds only; rows with a null key stay as they are and are not
+Defined cases: null is no line and stays null; lines under ``least`` characters always stay, unless
+``short`` lets exact copies of those go too (the pipeline does; op2 follows its SQL); blank lines
+under ``least`` always stay; texts split at line feeds only; rows with a null key stay as they are and are not
 earlier than any; keys should be unique, and rows that share one share the line numbers removed.
 A document that loses nothing keeps its very text.
 """
@@ -126,14 +127,19 @@ def near_lines(docs: DataFrame, distinct: DataFrame, key: str = "doc_id", text:
     return lines.where((close >= 0) & (close <= 1)).groupBy("at").agg(F.min("partner").alias("partner"))
 
 
-def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """(key, removed array<int>): the numbers, from 0, of the lines that go; others have no row."""
-    lines = lines_of(docs, key, text, least)
+def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, short: bool = False) -> DataFrame:
+    """(key, removed array<int>): the numbers, from 0, of the lines that go; others have no row.
+
+    With ``short``, lines under ``least`` characters that are not blank go as well when an earlier
+    line equals them; they are not compared for edits.
+    """
+    lines = lines_of(docs, key, text, 1 if short else least)
+    lines = lines.where((F.char_length("line") >= least) | F.col("line").rlike(r"\S"))
     distinct = stored(_distinct(lines), "lines")
     again = distinct.where("times > 1").select("h1", "h2", "at")
     spots = lines.select("key", "no", *_hashes("line"))
     copies = spots.join(again, ["h1", "h2"]).where(F.struct("key", "no") > F.col("at")).select("key", "no")
-    near = near_lines(docs, distinct, key, text).select("at.key", "at.no")
+    near = near_lines(docs, distinct.where(F.col("n") >= least), key, text).select("at.key", "at.no")
     return copies.union(near).groupBy("key").agg(F.collect_set("no").alias("removed"))
 
 

@@ -70,3 +70,12 @@ def test_edges(spark, docs):
     table = spark.createDataFrame([(None, line, 1), (3, line, 2), (3, line, 2), (4, line, 3)], "doc_id bigint, text string, n_lines bigint")
     rows = line_dedup.without_lines(table.drop("n_lines"), line_dedup.removed_lines(table)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in rows) == [(0, line), (3, line), (3, line), (4, "")]
+
+
+def test_short_copies_go_in_the_pipeline(spark, docs):
+    import corpus_pipeline
+
+    long = "a line that is long enough to count"
+    texts = [f"Ietzte.\n\n{long}", f" \n\nIetzte.\nIetzt\n{long}x", "Ietzt\nIetzte.\n \nIetzte!", None, "Ietzte."]
+    rows = corpus_pipeline.dedup_lines(spark, docs(texts), "").collect()
+    assert [r.text for r in sorted(rows, key=lambda r: r.doc_id)] == [texts[0], " \n\nIetzt", " \nIetzte!", None, ""]
