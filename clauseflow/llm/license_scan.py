@@ -132,17 +132,17 @@ class Scanner:
         return sorted(out, key=lambda x: (-x[0], x[1]))
 
     def places(self, name: str, words: list[str]) -> list[dict]:
-        """Where the template stands in the words, with the differences in wording."""
-        template, out, done = self.words[name], [], 0
-        while done < len(words):
-            matcher = SequenceMatcher(None, template, words[done:], autojunk=False)
-            core = matcher.find_longest_match()
+        """Where the template stands in the words, with the differences in wording; what lies before and behind each run is searched as well."""
+        template, out, open_ = self.words[name], [], [(0, len(words))]
+        while open_:
+            start, stop = open_.pop()
+            core = SequenceMatcher(None, template, words[start:stop], autojunk=False).find_longest_match()
             if core.size < max(2, len(template) // 8):
-                break
+                continue
             # the template lies around its longest common run, give or take half its length
             slack = len(template) // 2 + 2
-            lo = max(done, done + core.b - core.a - slack)
-            hi = min(len(words), done + core.b - core.a + len(template) + slack)
+            lo = max(start, start + core.b - core.a - slack)
+            hi = min(stop, start + core.b - core.a + len(template) + slack)
             near = words[lo:hi]
             runs = [m for m in SequenceMatcher(None, template, near, autojunk=False).get_matching_blocks() if m.size]
             first, end = runs[0].b, runs[-1].b + runs[-1].size
@@ -154,9 +154,9 @@ class Scanner:
             likeness = same / (len(template) + len(extra))
             if likeness >= self.likeness:
                 out.append({"license": name, "first_word": lo + first, "words": end - first, "likeness": likeness, "missing": missing, "extra": extra})
-                done = lo + end
+                open_ += [(start, lo + first), (lo + end, stop)]
             else:
-                done += core.b + core.size
+                open_ += [(start, start + core.b), (start + core.b + core.size, stop)]
         return out
 
     def scan(self, text: str) -> list[dict]:

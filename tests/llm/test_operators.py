@@ -259,6 +259,14 @@ def test_license_twice_and_empty(docs):
     assert license_scan.license_places(docs([])).count() == 0
 
 
+def test_license_places_before_a_longer_run():
+    scanner = license_scan.Scanner()
+    exact, reworded = "Released under the MIT License.", "Released under the MIT Licence."
+    texts = [f"{reworded} {'word ' * 8}{exact}", f"{exact} {'word ' * 8}{reworded}", f"{reworded} {'word ' * 8}{exact} {'word ' * 8}{reworded}"]
+    got = [[round(p["likeness"], 3) for p in scanner.scan(text) if p["license"] == "MIT"] for text in texts]
+    assert got == [[0.8, 1.0], [1.0, 0.8], [0.8, 1.0, 0.8]]
+
+
 # --- decontamination ------------------------------------------------------------------------------
 
 
