@@ -17,6 +17,7 @@ count as differences.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -70,6 +71,7 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. "
         "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
+    "All-rights-reserved": "All rights reserved.",
     "Unlicense-text": "This is free and unencumbered software released into the public domain.",
 }
 
@@ -83,6 +85,21 @@ def words_of(text: str) -> tuple[list[str], list[int]]:
     return [m.group().lower() for m in found], [m.start() for m in found]
 
 
+def trigger(templates: dict[str, str], likeness: float = LIKENESS) -> str:
+    """TRIGGER, and so many of each template's own words that a text that is like it has one.
+
+    A likeness allows a share of the words to be missing; one word more than that is taken, those
+    that TRIGGER finds anyway first, then the longest.
+    """
+    own: set[str] = set()
+    for text in templates.values():
+        words = words_of(text)[0]
+        most = len(words) - math.ceil(likeness * len(words) - 1e-9)
+        own.update(sorted(set(words), key=lambda w: (not _TRIGGER.search(w), -len(w), w))[: most + 1])
+    more = sorted(w.replace(".", "\\.") for w in own if not _TRIGGER.search(w))
+    return TRIGGER + (rf"|\b(?:{'|'.join(more)})\b" if more else "")
+
+
 def blocks(starts: list[int], triggers: list[int], longest: int, around: int = AROUND) -> list[tuple[int, int]]:
     """Word ranges around the triggers' places in the text."""
     from bisect import bisect_right
@@ -111,6 +128,7 @@ class Scanner:
         self.words = {name: words_of(text)[0] for name, text in templates.items()}
         self.longest = 2 * max(map(len, self.words.values()), default=0)
         self.saved, self.likeness = saved, likeness
+        self.trigger = regex.compile(trigger(templates, likeness), regex.IGNORECASE)
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.coders = {
             name: zstandard.ZstdCompressor(
@@ -164,7 +182,7 @@ class Scanner:
         if not words:
             return []
         found: dict[tuple[int, str], dict] = {}
-        for lo, hi in blocks(starts, [m.start() for m in _TRIGGER.finditer(text)], self.longest):
+        for lo, hi in blocks(starts, [m.start() for m in self.trigger.finditer(text)], self.longest):
             part = words[lo:hi]
             for saved, name in self.ranked(" ".join(part).encode()):
                 if saved < self.saved:
@@ -187,7 +205,7 @@ _SCHEMA = pa.schema([("license", pa.string()), ("first_word", pa.int32()), ("wor
 def license_places(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(key, license, first_word, words, saved, likeness, missing, extra): a row for each place."""
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.where(F.col(text).rlike(f"(?i){TRIGGER}")).select(F.col(key).alias("key"), utf8(text).alias("text"))
+    rows = docs.where(F.col(text).rlike(f"(?i){trigger(templates)}")).select(F.col(key).alias("key"), utf8(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)

@@ -267,6 +267,13 @@ def test_license_places_before_a_longer_run():
     assert got == [[0.8, 1.0], [1.0, 0.8], [0.8, 1.0, 0.8]]
 
 
+def test_rights_reserved_and_templates_of_ones_own(docs):
+    rows = license_scan.license_places(docs(["Some prose. " * 60 + "\nAll rights reserved.", "He reserved a table."])).collect()
+    assert [(r.doc_id, r.license, r.likeness) for r in rows] == [(0, "All-rights-reserved", 1.0)]
+    own = {"own": "Anyone may share these pages freely with others."}
+    assert [r.license for r in license_scan.license_places(docs(["x " * 50 + own["own"]]), templates=own).collect()] == ["own"]
+
+
 # --- decontamination ------------------------------------------------------------------------------
 
 
