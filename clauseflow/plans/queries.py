@@ -402,16 +402,22 @@ def batch_candidates(spark, sf_dir):
 def locate_quotes(spark, sf_dir):
     """Benchmark passages as quotes in whole documents; candidates by a shared first part.
 
-    Documents are cut at every place of a passage's first 24 characters by one regular expression
-    over all of them, so a document meets only the passages that may stand in it.
+    Every start of 24 characters in a document (or as many as a shorter passage has) is looked up
+    among the passages' own by hash, so starts that overlap all count; the passage then decides.
     """
-    quotes = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")).withColumn("head", F.substring("quote", 1, 24))
-    heads = [r[0] for r in quotes.select("head").distinct().orderBy("head").collect()]
-    pattern = "|".join("\\Q" + h.replace("\\E", "") + "\\E" for h in heads) or "(?!)"
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = docs.withColumn("head", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1)))))
-    rows = held.join(F.broadcast(quotes), "head").select("item_id", "doc_id", text.locate(F.col("text"), F.col("quote")).alias("place")).where("place IS NOT NULL")
-    return rows.select("item_id", "doc_id", F.col("place.start").alias("start"), (F.col("place.end") - F.col("place.start")).alias("chars"))
+    quotes = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")).where("quote IS NOT NULL")
+    quotes = quotes.withColumn("size", F.least(F.lit(24), F.char_length("quote"))).withColumn("head", F.xxhash64(F.substring("quote", 1, 24)))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL")
+    # characters are cut out of parts of 256, as finding one in a long text means walking there
+    parts = docs.select("doc_id", "text", F.explode(F.expr("sequence(0, char_length(text) DIV 256)")).alias("c"))
+    parts = parts.select("doc_id", F.substring("text", (F.col("c") * 256 + 1).cast("int"), F.lit(279)).alias("part"))
+    sizes = sorted(r[0] for r in quotes.select("size").distinct().collect())  # 25 at most
+    starts = [F.expr(f"transform(sequence(1, 256), i -> substring(part, i, {n}))") if n else F.array(F.lit("")) for n in sizes]
+    starts = F.concat(*starts) if starts else F.array().cast("array<string>")
+    heads = parts.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda h: F.xxhash64(h)))).alias("head"))
+    met = heads.join(quotes.select("head").distinct(), "head", "left_semi").distinct().withColumnRenamed("doc_id", "met_id")
+    held = docs.join(met, F.col("doc_id").eqNullSafe(F.col("met_id"))).join(quotes, "head").withColumn("place", F.position("quote", "text")).where("place > 0")
+    return held.select("item_id", "doc_id", (F.col("place") - 1).alias("start"), F.char_length("quote").alias("chars"))
 
 
 # --- gate -----------------------------------------------------------------------------------------

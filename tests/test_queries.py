@@ -41,3 +41,16 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_locate_quotes_that_overlap(spark, tmp_path):
+    passage = "the first of many words that stand in this passage é and on"
+    items = [(1, passage), (2, passage[6:]), (3, passage[:9]), (4, passage[:30]), (5, None), (6, "not here"), (7, passage), (8, "on")]
+    docs = [(1, "😀 " * 300 + passage), (2, passage * 2), (3, None), (4, ""), (5, passage[3:20])]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    connection = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        connection.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    ours, theirs = entry.queries()["locate_quotes"](spark, f"file://{tmp_path}").toPandas(), connection.sql(entry.oracle_sql()["locate_quotes"]).df()
+    assert len(theirs) > 10 and plain(ours) == plain(theirs)
