@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, stored, table
+from .common import batches_of, kind_of, stored, table
 
 GROUP_CHARS, KNOWN_WORDS, BATCH = 1 << 23, 1 << 18, 500
 
@@ -146,7 +146,7 @@ def _encoder(path: str):
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>) for every row of docs; a narrow map."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind = kind_of(docs, key)
     batches_of(docs.sparkSession, BATCH)
     return _rows(docs, key, text).mapInArrow(_encoder(path), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
@@ -154,7 +154,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``decode(encode(docs))`` in one pass of Python: half the workers, and ids cross over once."""
     encoder, decoder = _encoder(path), _decoder(docs.sparkSession, path)
-    kind = docs.schema[key].dataType.simpleString()
+    kind = kind_of(docs, key)
     batches_of(docs.sparkSession, BATCH)
     both = _rows(docs, key, text).mapInArrow(lambda batches: decoder(encoder(batches)), f"key {kind}, ids array<int>, decoded binary")
     return both.withColumnRenamed("key", key)
@@ -168,7 +168,7 @@ def encode_joined(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     """(key, ids array<int>) for every row of docs."""
     vocabulary = Vocabulary(path)
     special = list(vocabulary.special)
-    kind = docs.schema[key].dataType.simpleString()
+    kind = kind_of(docs, key)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
     groups = max(1, -(-size // GROUP_CHARS))
@@ -233,7 +233,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
 
     The pieces go to every task: they are as many as the vocabulary has.
     """
-    kind = encoded.schema[key].dataType.simpleString()
+    kind = kind_of(encoded, key)
     rows = encoded.select(F.col(key).alias("key"), "ids")
     return rows.mapInArrow(_decoder(encoded.sparkSession, path), f"key {kind}, ids array<int>, decoded binary").withColumnRenamed("key", key)
 

@@ -2,68 +2,118 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import math
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..sources.scratch import fresh_path, remove
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a session without that setting (tests, a laptop) gets a folder of its own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='clauseflow-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, held: list[str] | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
     This cuts the lineage: what follows reads files that every executor sees, so a lost executor
-    costs its running tasks only, and Python work ahead of the cut runs once.
+    costs its running tasks only, and Python work ahead of the cut runs once. The table's path is
+    added to ``held``, which ``released`` takes.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    if held is not None:
+        held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession, held: list[str]) -> None:
+    """Deletes stored tables, once all that is made of them is stored itself."""
+    while held:
+        remove(spark, held.pop())
+
+
 def batches_of(spark: SparkSession, rows: int = 1000) -> None:
     """Rows in an Arrow batch: whole texts go to Python, so the default of 10,000 is too many."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def utf8(column: str) -> "F.Column":
+def column(name: str) -> Column:
+    """A column by its very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [column(c) for c in df.columns]
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores behind them as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df less any columns of these names, as Spark compares names: an operator's own columns take
+    the place of such."""
+    gone = {n.lower() for n in names}
+    return df.select(*(column(c) for c in df.columns if c.lower() not in gone))
+
+
+def kind_of(df: DataFrame, name: str) -> str:
+    return df.select(column(name)).schema[0].dataType.simpleString()
+
+
+def arrow_type(df: DataFrame, name: str) -> pa.DataType:
+    """The Arrow type of a column, so that keys of any type can be built in Python."""
+    return to_arrow_type(df.select(column(name)).schema[0].dataType)
+
+
+def utf8(name: str) -> Column:
     """A text as UTF-8 bytes; null counts as empty."""
-    return F.coalesce(F.col(column), F.lit("")).cast("binary")
+    return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
-def sha256(column: str) -> "F.Column":
-    return F.sha2(F.col(column), 256)
+def sha256(name: str) -> Column:
+    return F.sha2(F.col(name), 256)
 
 
-#: Slots of the bitmap that ``sift`` broadcasts: 2^23 bits are one MB, whatever the data's size.
-SLOTS = 1 << 23
+#: Bits of a bitmap's bucket (Spark's own size), and of the whole bitmap at the most: 2^27 are 16 MB.
+BUCKET, MOST_SLOTS = 1 << 15, 1 << 27
 
 
-def sift(rows: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
-    """rows whose ``column`` may be among ``wanted[key]``: all that are, and few others while the
-    wanted keys are few. What is left is then joined exactly; its point is not to shuffle the rest.
+def flagged(rows: DataFrame, name: str, wanted: DataFrame, key: str, flag: str) -> DataFrame:
+    """rows with the boolean ``flag``: whether the column may be among ``wanted[key]``. It is true for
+    all that are, and for few others while the wanted keys are few.
 
-    The keys' hashes set bits of a bitmap of fixed size, which is small enough to broadcast.
+    The keys' hashes set bits of a bitmap, which is broadcast. It has sixteen bits for each wanted
+    row, but MOST_SLOTS (16 MB) at the most. Beyond what that serves, nearly every row would pass:
+    then all do, without a bitmap.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)) + 1
+    n = wanted.count()
+    if n > MOST_SLOTS:
+        return rows.withColumn(flag, F.lit(True))
+    slots = min(MOST_SLOTS, max(BUCKET, 1 << math.ceil(math.log2(16 * max(n, 1)))))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots)) + 1
     bits = wanted.where(F.col(key).isNotNull()).select(slot(key).alias("__slot"))
     maps = bits.groupBy(F.bitmap_bucket_number("__slot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits"))
-    at = F.bitmap_bit_position(slot(column))
-    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(slot(column)) == F.col("__bucket"))
+    at = F.bitmap_bit_position(slot(name))
+    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(slot(name)) == F.col("__bucket"), "left")
     byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return joined.where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).select(*rows.columns)
+    found = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0, F.lit(False)) & F.col(name).isNotNull()
+    return joined.select(*rows.columns, found.alias(flag))
+
+
+def sift(rows: DataFrame, name: str, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows that ``flagged`` marks. They are then joined exactly; the point is not to shuffle the
+    rest."""
+    return flagged(rows, name, wanted, key, "__maybe").where("__maybe").drop("__maybe")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, stored, table, utf8
+from .common import batches_of, kind_of, released, stored, table, utf8
 from .components import components
 
 BITS, SHINGLE, SEED = 2, 3, 42
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
 
     batches_of(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), utf8(text).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
+    kind = kind_of(rows, "key")
     return rows.mapInArrow(run, f"key {kind}, fp bigint").withColumnRenamed("key", key)
 
 
@@ -78,7 +78,7 @@ def _embedded(fp: str) -> "F.Column":
     return F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseXOR(high))
 
 
-def near_pairs(fps: DataFrame, bits: int = BITS, crowded: int = 128) -> DataFrame:
+def near_pairs(fps: DataFrame, bits: int = BITS, crowded: int = 128, held: list[str] | None = None) -> DataFrame:
     """fps(fp), distinct -> links (a, b) whose components are those of all pairs within ``bits``."""
     if bits not in (0, 1, 2):
         raise ValueError("the grid is laid out for at most two bits")
@@ -86,7 +86,7 @@ def near_pairs(fps: DataFrame, bits: int = BITS, crowded: int = 128) -> DataFram
     for some in combinations(GROUPS, 3):
         masks.append(_signed(sum((1 << hi) - (1 << lo) for lo, hi in some)))
     cells = F.array(*(F.struct(F.lit(i).alias("grid"), F.col("e").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(masks)))
-    placed = stored(fps.select("fp", _embedded("fp").alias("e")).select("fp", F.inline(cells)), "cells")
+    placed = stored(fps.select("fp", _embedded("fp").alias("e")).select("fp", F.inline(cells)), "cells", held)
     sizes = placed.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
     sized = placed.join(sizes, ["grid", "cell"])
     few = sized.where(f"n <= {crowded}").select("grid", "cell", "fp")
@@ -114,13 +114,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
     Rows with a null key take part and get a component too, which is null only if no row of it has
     a key.
     """
-    marked = stored(fingerprints(docs, key, text, shingle).withColumnRenamed(key, "key"), "fingerprints")
-    fps = stored(marked.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
-    roots = components(near_pairs(fps.select("fp"), bits)).withColumnRenamed("node", "fp")
+    held: list[str] = []
+    marked = stored(fingerprints(docs, key, text, shingle).withColumnRenamed(key, "key"), "fingerprints", held)
+    fps = stored(marked.groupBy("fp").agg(F.min("key").alias("least")), "distinct", held)
+    roots = components(near_pairs(fps.select("fp"), bits, held=held), held=held).withColumnRenamed("node", "fp")
     classed = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = classed.groupBy("root").agg(F.min("least").alias("component"))
     by_fp = classed.join(ids, "root").select("fp", "component")
-    return marked.join(by_fp, "fp").select(F.col("key").alias(key), "fp", "component")
+    found = stored(marked.join(by_fp, "fp").select(F.col("key").alias(key), "fp", "component"), "classes")
+    released(docs.sparkSession, held)
+    return found
 
 
 def op5_simhash_near_dedup(spark, sf_dir):
