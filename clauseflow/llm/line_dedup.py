@@ -6,8 +6,8 @@ edit. Judged on the input: a line that goes still counts as earlier for others.
 Two lines within one edit share a hashed key: with one character deleted, or as it is, each emits
 the pair (hash before the place, hash after it). All lines that share such a pair are within one
 edit of each other, so the least line of a key is every member's earlier partner and no pairs are
-made, however many lines share a key. The edit distance of a line and that partner is verified with
-``levenshtein``.
+made, however many lines share a key. The edit distance of a line and that partner is verified on
+the lines themselves.
 
 Few lines need variants. An edit spares the first or the last half of a line, so lines that share
 neither half with another line of fitting length emit nothing, and the others only at places in the
@@ -17,15 +17,16 @@ Defined cases: null is no line and stays null; lines under ``least`` characters
 ``short`` lets exact copies of those go too (the pipeline does; op2 follows its SQL); blank lines
 under ``least`` always stay; texts split at line feeds only; rows with a null key stay as they are and are not
 earlier than any; keys should be unique, and rows that share one share the line numbers removed.
-A document that loses nothing keeps its very text.
+A document that loses nothing keeps its very text. Columns of the names that ``without_lines`` adds
+are replaced by its own, all others are passed on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sift, stored, table
+from .common import column, released, sift, spare, stored, table, without
 
 LEAST, GRID = 20, 128
 
@@ -74,57 +75,75 @@ def _places(distinct: DataFrame) -> DataFrame:
 
 
 def _variants(wanted: DataFrame) -> DataFrame:
-    """wanted(at, n, line, lo, hi, deleted) -> (before, after, at).
-
-    Hashes of what stands before a place come from blocks of GRID characters counted from the
-    start, those of what follows from blocks counted from the end; a line of any length so costs
-    about GRID characters for each place.
+    """wanted(at, n, line, lo, hi, deleted) -> (before, after, at, p, behind): the place and the number
+    of characters behind it.
+
+    A line is cut into blocks of GRID characters, once from its start and once from its end. What
+    stands before a place is whole blocks from the start and a part of the next one, what stands
+    behind it whole blocks from the end and a part of the next one. Whole blocks are hashed with
+    their numbers and summed up by a running exclusive or, so a place costs 2 * GRID characters at
+    the most, however long its line is, and no row holds more than three blocks.
     """
-    g = GRID
-    blocks = F.sequence(F.lit(0), F.floor(F.col("n") / g).cast("int"))
-    heads = F.transform(blocks, lambda c: F.xxhash64(F.substring("line", F.lit(1), c * g)))
-    tails = F.transform(blocks, lambda c: F.xxhash64(F.lit(3), F.substring("line", F.col("n") - c * g + 1, c * g)))
-    cut = wanted.select("at", "n", "lo", "hi", "deleted", "line", heads.alias("heads"), tails.alias("tails"))
-    part = cut.select("at", "n", "lo", "hi", "deleted", F.explode(F.sequence(F.floor(F.col("lo") / g), F.floor(F.col("hi") / g))).alias("c"), "heads", "tails", "line")
-    part = part.select(
-        "at", "n", "lo", "hi", "deleted",
-        (F.col("c") * g).cast("int").alias("base"),
-        F.get("heads", F.col("c")).alias("head"),
-        F.slice("tails", F.greatest(F.lit(1), F.floor((F.col("n") - F.col("c") * g) / g).cast("int") - 1), F.lit(4)).alias("tails"),
-        F.greatest(F.lit(0), F.floor((F.col("n") - F.col("c") * g) / g).cast("int") - 2).alias("first_tail"),
-        F.substring("line", (F.col("c") * g + 1).cast("int"), F.lit(2 * g + 2)).alias("text"),
-    )
-    last = F.least(F.col("hi") - F.when(F.col("deleted"), 1).otherwise(0), F.col("base") + g - 1)
-    first = F.greatest("lo", "base")
-    placed = part.where(first <= last).select("*", F.explode(F.sequence(first, last)).alias("p"))
-    skip = F.when(F.col("deleted"), 1).otherwise(0)
-    after = F.col("n") - F.col("p") - skip
+    g, own = GRID, ["at", "n", "lo", "hi", "deleted"]
+    cut = lambda text: F.concat(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{g}}}"), F.lit(0)), F.array(F.lit("")))
+    last = F.floor(F.col("n") / g).cast("int")
+    # a generator's columns are computed once, not anew for each block below
+    blocks = wanted.select(*own, last.alias("k"), F.inline(F.array(F.struct(cut("line").alias("f"), cut(F.reverse("line")).alias("b")))))
+    # behind a place of block c from the start lie block k - c or k - c - 1 from the end
+    each = F.transform(F.sequence(F.lit(0), F.col("k")), lambda c: F.struct(c.alias("c"), F.get("f", c).alias("f"), F.get("b", F.col("k") - c).alias("b1"), F.get("b", F.col("k") - c - 1).alias("b0")))
+    rows = blocks.select(*own, "k", F.inline(each))
+    there = F.xxhash64(F.col("k") - F.col("c"), "b1")
+    whole = Window.partitionBy(*own)
+    upto = whole.orderBy("c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select(
+        "*",
+        F.bit_xor(F.xxhash64("c", "f")).over(upto).bitwiseXOR(F.xxhash64("c", "f")).alias("head"),
+        F.bit_xor(there).over(whole).bitwiseXOR(F.bit_xor(there).over(upto)).alias("tail1"),
+    )
+    rows = rows.withColumn("tail0", F.col("tail1").bitwiseXOR(F.xxhash64(F.col("k") - F.col("c") - 1, "b0")))
+    base, skip = F.col("c") * g, F.when(F.col("deleted"), 1).otherwise(0)
+    low, high = F.greatest("lo", base), F.least(F.col("hi") - skip, base + g - 1)
+    placed = rows.where(low <= high).select("*", F.explode(F.sequence(low, high)).alias("p"))
+    behind = F.col("n") - F.col("p") - skip
+    outer = behind >= (F.col("k") - F.col("c")) * g
     return placed.select(
         "at",
-        F.xxhash64("head", F.substring("text", F.lit(1), F.col("p") - F.col("base"))).alias("before"),
-        F.xxhash64(
-            F.get("tails", F.floor(after / g).cast("int") - F.col("first_tail")),
-            F.substring("text", F.col("p") - F.col("base") + skip + 1, (after % g).cast("int")),
-        ).alias("after"),
+        F.xxhash64("head", F.substring("f", F.lit(1), F.col("p") - base)).alias("before"),
+        F.xxhash64(F.when(outer, F.col("tail1")).otherwise(F.col("tail0")), F.substring(F.when(outer, F.col("b1")).otherwise(F.col("b0")), F.lit(1), behind % g)).alias("after"),
+        F.struct(F.col("p"), behind.alias("behind"), skip.alias("skip")).alias("place"),
     )
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(at, partner): distinct lines, by their first place, with an earlier line one edit away."""
-    places = stored(_places(distinct), "places")
+def near_lines(docs: DataFrame, distinct: DataFrame, key: str, text: str, held: list[str]) -> DataFrame:
+    """(at, partner): distinct lines, by their first place, with an earlier line one edit away.
+
+    ``held`` gets the tables that the result reads."""
+    places = stored(_places(distinct), "places", held)
     wanted = places.select("at").distinct().select(F.col("at.key").alias("key"), "at")
     by_doc = wanted.groupBy("key").agg(F.collect_list("at").alias("ats"))
-    by_doc = stored(by_doc, "places-by-doc")
+    by_doc = stored(by_doc, "places-by-doc", held)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     texts = sift(rows, "key", by_doc, "key").join(by_doc, "key")
     texts = texts.select(F.split("text", "\n", -1).alias("lines"), F.explode("ats").alias("at"))
-    texts = stored(texts.select("at", F.get("lines", F.col("at.no")).alias("line")).where("line IS NOT NULL").distinct(), "candidates")
+    texts = stored(texts.select("at", F.get("lines", F.col("at.no")).alias("line")).where("line IS NOT NULL").distinct(), "candidates", held)
     emitted = _variants(places.join(texts, "at"))
     least = emitted.groupBy("before", "after").agg(F.min("at").alias("partner"), F.max("at").alias("most")).where("partner < most")
-    pairs = emitted.join(least.drop("most"), ["before", "after"]).where("partner < at").select("at", "partner").distinct()
+    met = emitted.join(least.drop("most"), ["before", "after"]).where("partner < at")
+    pairs = met.groupBy("at", "partner").agg(F.min("place").alias("place"))
     lines = pairs.join(texts, "at").join(texts.select(F.col("at").alias("partner"), F.col("line").alias("other")), "partner")
-    close = F.levenshtein("line", "other", 1)
-    return lines.where((close >= 0) & (close <= 1)).groupBy("at").agg(F.min("partner").alias("partner"))
+    return lines.where(_within_one("line", "other")).groupBy("at").agg(F.min("partner").alias("partner"))
+
+
+def _within_one(line: str, other: str) -> "F.Column":
+    """Whether the lines are the same before and behind the place, and what is between them is one
+    edit at the most. The edit distance is taken of the middles only, as it takes the square of a
+    line's length in Spark."""
+    p, m = F.col("place.p"), F.col("place.behind")
+    before = F.substring(line, F.lit(1), p) == F.substring(other, F.lit(1), p)
+    after = F.substring(line, F.char_length(line) - m + 1, m) == F.substring(other, F.char_length(other) - m + 1, m)
+    middle = [F.substring(t, p + 1, F.greatest(F.char_length(t) - p - m, F.lit(0))) for t in (line, other)]
+    fits = F.greatest(F.char_length(line), F.char_length(other)) - p - m
+    return before & after & fits.between(0, 1) & (F.levenshtein(*middle) <= 1)
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, short: bool = False) -> DataFrame:
@@ -135,27 +154,38 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     """
     lines = lines_of(docs, key, text, 1 if short else least)
     lines = lines.where((F.char_length("line") >= least) | F.col("line").rlike(r"\S"))
-    distinct = stored(_distinct(lines), "lines")
+    held: list[str] = []
+    distinct = stored(_distinct(lines), "lines", held)
     again = distinct.where("times > 1").select("h1", "h2", "at")
     spots = lines.select("key", "no", *_hashes("line"))
     copies = spots.join(again, ["h1", "h2"]).where(F.struct("key", "no") > F.col("at")).select("key", "no")
-    near = near_lines(docs, distinct.where(F.col("n") >= least), key, text).select("at.key", "at.no")
-    return copies.union(near).groupBy("key").agg(F.collect_set("no").alias("removed"))
+    near = near_lines(docs, distinct.where(F.col("n") >= least), key, text, held).select("at.key", "at.no")
+    removed = stored(copies.union(near).groupBy("key").agg(F.collect_set("no").alias("removed")), "removed")
+    released(docs.sparkSession, held)
+    return removed
+
+
+def cut_lines(docs: DataFrame, removed: DataFrame, key: str = "doc_id", text: str = "text", size: str | None = None, gone: str | None = None) -> DataFrame:
+    """docs with the lines taken out of ``text``, all columns in their places; ``size`` and ``gone``
+    name columns (bigint) for the number of lines and of removed ones, if they are wanted."""
+    mark, numbers = spare(docs, "mark", "numbers")
+    marked = removed.select(F.col("key").alias(mark), F.col("removed").alias(numbers))
+    joined = docs.join(marked, column(key) == F.col(mark), "left")
+    lines = F.split(column(text), "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(numbers))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    whole = F.col(numbers).isNull()
+    out = [F.when(whole, column(text)).otherwise(kept).alias(text) if c == text else column(c) for c in docs.columns]
+    if size:
+        out.append(F.when(column(text).isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias(size))
+    if gone:
+        out.append(F.when(whole, 0).otherwise(F.size(numbers)).cast("bigint").alias(gone))
+    return joined.select(*out)
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the lines taken out of ``text``; adds n_lines and n_removed (both bigint)."""
-    marked = removed.select(F.col("key").alias("__key"), F.col("removed").alias("__removed"))
-    joined = docs.join(marked, docs[key] == marked["__key"], "left")
-    lines = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__removed")
-    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    size = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("bigint")
-    gone = F.coalesce(F.size("__removed"), F.lit(0)).cast("bigint")
-    changed = joined.select("*", size.alias("__n"), F.when(F.col("__removed").isNull(), F.lit(0)).otherwise(gone).cast("bigint").alias("__gone"))
-    changed = changed.withColumn(text, F.when(F.col("__removed").isNull(), F.col(text)).otherwise(kept))
-    own = [changed[c] for c in docs.columns]
-    return changed.select(*own, F.col("__n").alias("n_lines"), F.col("__gone").alias("n_removed"))
+    return cut_lines(without(docs, "n_lines", "n_removed"), removed, key, text, "n_lines", "n_removed")
 
 
 def op2_line_dedup(spark, sf_dir):

@@ -68,8 +68,18 @@ def test_edges(spark, docs):
     assert line_dedup.without_lines(none, line_dedup.removed_lines(none)).count() == 0
     line = "a line that is long enough to count"
     table = spark.createDataFrame([(None, line, 1), (3, line, 2), (3, line, 2), (4, line, 3)], "doc_id bigint, text string, n_lines bigint")
-    rows = line_dedup.without_lines(table.drop("n_lines"), line_dedup.removed_lines(table)).collect()
+    rows = line_dedup.without_lines(table, line_dedup.removed_lines(table)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in rows) == [(0, line), (3, line), (3, line), (4, "")]
+    assert {r.n_lines for r in rows} == {1}  # the operator's own column takes the place of that name
+
+
+def test_very_long_lines(docs):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefgh é😀") for _ in range(300_000))
+    texts = [long, long[:123_456] + "#" + long[123_456:], long[:-1], long[1:-1] + "##", long[:200_000] + "##" + long[200_002:]]
+    table = docs(texts)
+    rows = line_dedup.without_lines(table, line_dedup.removed_lines(table)).collect()
+    assert [r.n_removed for r in sorted(rows, key=lambda r: r.doc_id)] == [0, 1, 1, 0, 0]
 
 
 def test_short_copies_go_in_the_pipeline(spark, docs):
