@@ -4,7 +4,8 @@ A window is ``window`` consecutive units (words or bytes) of one document. Each
 to the k-gram in it whose rolling hash is least, its trigger. Neighbouring windows with one trigger
 form a phrase: it runs from the first such window to the end of the last one, so phrases overlap by
 ``window - 1`` units, every window lies in exactly one phrase, and equal windows, wherever they
-stand, lie in phrases with the same trigger and at the same distance from it.
+stand, lie in phrases with the same trigger and at the same distance from it. (Hashes are compared
+by their first 43 bits, the leftmost of equal ones wins: that depends on the window alone.)
 
 So the corpus becomes a parse (one row for each phrase occurrence, no text) and a dictionary of
 distinct phrases. Only phrases whose trigger occurs twice can hold a repeated window:
@@ -19,7 +20,10 @@ In periodic text every period is a phrase of its own, equal to the one before; s
 of the parse with a count (``times``), so they make no hot trigger.
 
 Everything is shuffled by trigger or by document, as small rows; whole texts move twice, by
-document. A document's own phrases are its size at most.
+document. A document's own phrases are its size at most. Where rows are joined to what their own
+trigger or window sums up to, both sides are dealt by a salt as well (``_summed``), so a trigger or a
+window that very many rows share is spread over SALTS tasks; the other joins leave such groups to
+adaptive execution, which splits them.
 """
 
 from __future__ import annotations
@@ -32,10 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, stored
+from .common import arrow_type, batches_of, kind_of, released, stored
 
-TILE = 1 << 19
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+TILE, SALTS = 1 << 19, 32
+#: Low bits of a key that hold a place in a chunk, which has under 2 * TILE units and a window.
+_PLACE = np.uint64((1 << 21) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -83,10 +88,11 @@ def phrases(chunk: list[tuple[int, int, np.ndarray]], k: int, window: int) -> tu
     empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64, np.int64)) + (np.zeros((0, 2), np.int64),)
     if n < window:
         return empty
-    mask = np.uint64((1 << max(1, int(n).bit_length())) - 1)
+    if n > int(_PLACE):
+        raise ValueError("the chunk is too long")
     grams = _grams(units, k)
-    keys = grams & ~mask | np.arange(n, dtype=np.uint64)
-    place = (_least(keys, window - k + 1) & mask).astype(np.int64)
+    keys = grams & ~_PLACE | np.arange(n, dtype=np.uint64)
+    place = (_least(keys, window - k + 1) & _PLACE).astype(np.int64)
     whole = np.zeros(n + 1, np.int32)
     starts = ends - sizes
     fits = sizes >= window
@@ -143,7 +149,7 @@ def _tiles(texts: list[bytes], units: Units, window: int) -> Iterator[list[tuple
 
 def parse(docs: DataFrame, units: Units, k: int, window: int) -> DataFrame:
     """docs(key, text binary) -> a row for each phrase occurrence, without its text."""
-    kind = docs.schema["key"].dataType.simpleString()
+    kind = kind_of(docs, "key")
     names = ["key", "first", "windows", "times", "ahead", "trigger", "c1", "c2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,25 +165,28 @@ def parse(docs: DataFrame, units: Units, k: int, window: int) -> DataFrame:
     return docs.where("key IS NOT NULL").mapInArrow(run, schema)
 
 
-def repeated(docs: DataFrame, units: Units, piece: Callable[[bytes, list[tuple[int, int]]], list[bytes]], shard: Callable, k: int, window: int, rows: int = 4096) -> DataFrame:
+def repeated(docs: DataFrame, units: Units, piece: Callable[[bytes, list[tuple[int, int]]], list[bytes]], shard: Callable, k: int, window: int, held: list[str], rows: int = 4096) -> DataFrame:
     """(key, first, lo, hi, least, copies): windows lo..hi (from the phrase's first one, inclusive)
     that start ``copies`` times in all, ``least`` being the least key that holds them.
 
     Only windows with two starts or more are listed. ``piece(text, ranges)`` returns the contents
     of ranges of units and ``shard(rows)`` compares phrases: rows are (trigger, ahead, windows,
-    copies, least, content); it yields for each row the ranges (lo, hi, copies, least).
+    copies, least, content); it yields for each row the ranges (lo, hi, copies, least). ``held`` gets
+    the tables that the result reads.
     """
-    kind = docs.schema["key"].dataType.simpleString()
-    found = stored(parse(docs, units, k, window), "parse")
+    kind = (kind_of(docs, "key"), arrow_type(docs, "key"))
+    first: list[str] = []
+    found = stored(parse(docs, units, k, window), "parse", first)
     often = found.groupBy("trigger").agg(F.sum("times").alias("n")).where("n > 1").select("trigger")
-    occurrences = stored(found.join(often, "trigger", "left_semi"), "occurrences")
+    occurrences = stored(found.join(often, "trigger", "left_semi"), "occurrences", held)
+    released(docs.sparkSession, first)
     words = ["trigger", "c1", "c2"]
     dictionary = occurrences.groupBy(*words).agg(
         F.sum("times").alias("copies"), F.min("key").alias("least"), F.min(F.struct("key", "first", "windows", "ahead")).alias("at")
     )
-    dictionary = stored(dictionary, "dictionary")
-    kinds = dictionary.groupBy("trigger").agg(F.count("*").alias("kinds"))
-    sized = dictionary.join(kinds, "trigger")
+    dictionary = stored(dictionary.withColumn("salt", _salt("c1")), "dictionary", held)
+    kinds = dictionary.groupBy("trigger", "salt").agg(F.count("*").alias("kinds"))
+    sized = dictionary.join(_spread(kinds, ["trigger"], F.sum("kinds").alias("kinds")), ["trigger", "salt"]).drop("salt")
 
     alone = sized.where("kinds = 1").select(*words, F.array(F.struct(F.lit(0).alias("lo"), (F.col("at.windows") - 1).alias("hi"), "copies", "least")).alias("ranges"))
 
@@ -186,14 +195,15 @@ def repeated(docs: DataFrame, units: Units, piece: Callable[[bytes, list[tuple[i
         F.struct("trigger", "c1", "c2", F.col("at.first").alias("first"), F.col("at.windows").alias("windows"), F.col("at.ahead").alias("ahead"), "copies", "least", (F.col("kinds") > rows).alias("crowd")).alias("phrase"),
     )
     by_doc = wanted.groupBy("key").agg(F.collect_list("phrase").alias("phrases"))
-    contents = stored(_contents(by_doc.join(docs, "key"), kind, units, piece, window), "contents")
+    contents = stored(_contents(by_doc.join(docs, "key"), kind, units, piece, window), "contents", held)
 
     shards = contents.where("NOT crowd").drop("crowd").repartition("trigger").sortWithinPartitions("trigger")
     compared = _compared(shards, kind, shard, rows)
 
-    windows = stored(_hashed(contents.where("crowd"), kind, units, window), "windows")
-    totals = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("copies"), F.min("least").alias("least")).where("copies > 1")
-    single = windows.drop("copies", "least").join(totals, ["w1", "w2"])
+    windows = stored(_hashed(contents.where("crowd"), kind, units, window).withColumn("salt", _salt("c1")), "windows", held)
+    parts = windows.groupBy("w1", "w2", "salt").agg(F.sum("copies").alias("copies"), F.min("least").alias("least"))
+    totals = _spread(parts, ["w1", "w2"], F.sum("copies").alias("copies"), F.min("least").alias("least")).where("copies > 1")
+    single = windows.drop("copies", "least").join(totals, ["w1", "w2", "salt"])
     hashed = single.groupBy(*words).agg(F.collect_list(F.struct(F.col("at").alias("lo"), F.col("at").alias("hi"), "copies", "least")).alias("ranges"))
 
     ranges = alone.union(compared.select(alone.columns)).union(hashed.select(alone.columns))
@@ -206,7 +216,18 @@ def repeated(docs: DataFrame, units: Units, piece: Callable[[bytes, list[tuple[i
     return each.select("key", (F.col("first") + F.col("i") * F.col("windows")).alias("first"), "lo", "hi", "copies", "least")
 
 
-def _contents(rows: DataFrame, kind: str, units: Units, piece, window: int) -> DataFrame:
+def _salt(name: str) -> F.Column:
+    return F.pmod(F.col(name), F.lit(SALTS)).cast("int")
+
+
+def _spread(parts: DataFrame, keys: list[str], *sums: F.Column) -> DataFrame:
+    """parts(keys, salt, partial sums) -> (keys, salt, sums): the key's sums beside each of its salts,
+    so that rows join them by key and salt. A key has SALTS parts at the most."""
+    whole = parts.groupBy(*keys).agg(*sums, F.collect_set("salt").alias("salts"))
+    return whole.withColumn("salt", F.explode("salts")).drop("salts")
+
+
+def _contents(rows: DataFrame, kind: tuple[str, pa.DataType], units: Units, piece, window: int) -> DataFrame:
     """A row for each wanted phrase with its content; the hash proves that it is the right one."""
     fields = ("trigger", "c1", "c2", "windows", "ahead", "copies", "least", "crowd")
 
@@ -220,16 +241,16 @@ def _contents(rows: DataFrame, kind: str, units: Units, piece, window: int) -> D
                         out.append({f: p[f] for f in fields} | {"content": content})
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    schema = pa.schema([("trigger", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("windows", pa.int32()), ("ahead", pa.int32()), ("copies", pa.int64()), ("least", _ARROW[kind]), ("crowd", pa.bool_()), ("content", pa.binary())])
-    return rows.select("text", "phrases").mapInArrow(run, f"trigger bigint, c1 bigint, c2 bigint, windows int, ahead int, copies bigint, least {kind}, crowd boolean, content binary")
+    schema = pa.schema([("trigger", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("windows", pa.int32()), ("ahead", pa.int32()), ("copies", pa.int64()), ("least", kind[1]), ("crowd", pa.bool_()), ("content", pa.binary())])
+    return rows.select("text", "phrases").mapInArrow(run, f"trigger bigint, c1 bigint, c2 bigint, windows int, ahead int, copies bigint, least {kind[0]}, crowd boolean, content binary")
 
 
 _RANGES = "array<struct<lo:int,hi:int,copies:bigint,least:{}>>"
 
 
-def _compared(rows: DataFrame, kind: str, shard, most: int) -> DataFrame:
+def _compared(rows: DataFrame, kind: tuple[str, pa.DataType], shard, most: int) -> DataFrame:
     """Rows sorted by trigger, handed to ``shard`` in runs of whole triggers of about ``most`` rows."""
-    schema = pa.schema([("trigger", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("ranges", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("copies", pa.int64()), ("least", _ARROW[kind])])))])
+    schema = pa.schema([("trigger", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("ranges", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("copies", pa.int64()), ("least", kind[1])])))])
 
     def answer(rows: list[dict]) -> pa.RecordBatch:
         found = shard(rows)
@@ -247,10 +268,10 @@ def _compared(rows: DataFrame, kind: str, shard, most: int) -> DataFrame:
         if held:
             yield answer(held)
 
-    return rows.mapInArrow(run, f"trigger bigint, c1 bigint, c2 bigint, ranges {_RANGES.format(kind)}")
+    return rows.mapInArrow(run, f"trigger bigint, c1 bigint, c2 bigint, ranges {_RANGES.format(kind[0])}")
 
 
-def _hashed(rows: DataFrame, kind: str, units: Units, window: int) -> DataFrame:
+def _hashed(rows: DataFrame, kind: tuple[str, pa.DataType], units: Units, window: int) -> DataFrame:
     """Every window of the phrases by itself, as a 128-bit hash."""
     names = ["trigger", "c1", "c2", "copies", "least", "at", "w1", "w2"]
 
@@ -267,7 +288,7 @@ def _hashed(rows: DataFrame, kind: str, units: Units, window: int) -> DataFrame:
             held = [batch.column(n).take(pa.array(row)) for n in names[:5]]
             yield pa.RecordBatch.from_arrays([*held, pa.array(at, pa.int32()), pa.array(found[:, 0]), pa.array(found[:, 1])], names=names)
 
-    return rows.mapInArrow(run, f"trigger bigint, c1 bigint, c2 bigint, copies bigint, least {kind}, at int, w1 bigint, w2 bigint")
+    return rows.mapInArrow(run, f"trigger bigint, c1 bigint, c2 bigint, copies bigint, least {kind[0]}, at int, w1 bigint, w2 bigint")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

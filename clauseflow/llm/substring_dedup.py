@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, table, utf8
+from .common import batches_of, kind_of, released, stored, table, utf8
 from .repeats import merged, repeated
 
 WINDOW, GRAM = 50, 16
@@ -132,14 +132,17 @@ def compare(rows: list[dict], window: int = WINDOW) -> list[list[tuple[int, int,
 def earlier_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(key, spans): each document's word ranges that windows of earlier documents cover."""
     rows = docs.select(F.col(key).alias("key"), utf8(text).alias("text"))
-    found = repeated(rows, word_units, word_pieces, lambda held: compare(held, window), min(GRAM, 1 << max(0, (window // 2).bit_length() - 1)), window, rows=1024)
+    held: list[str] = []
+    found = repeated(rows, word_units, word_pieces, lambda shard: compare(shard, window), min(GRAM, 1 << max(0, (window // 2).bit_length() - 1)), window, held, rows=1024)
     span = F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + window).alias("hi"))
-    return found.where("least < key").groupBy("key").agg(F.collect_list(span).alias("spans"))
+    spans = stored(found.where("least < key").groupBy("key").agg(F.collect_list(span).alias("spans")), "spans")
+    released(docs.sparkSession, held)
+    return spans
 
 
 def without_words(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, kept binary: the words left, joined by one space, n_words, n_removed) for every row."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind = kind_of(docs, key)
     rows = docs.select(F.col(key).alias("key"), utf8(text).alias("text")).join(spans, "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, table, utf8
+from .common import batches_of, kind_of, released, stored, table, utf8
 from .repeats import merged, repeated
 
 LENGTH, GRAM = 400, 64
@@ -84,14 +84,17 @@ def compare(rows: list[dict], length: int = LENGTH) -> list[list[tuple[int, int,
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(key, spans): each document's byte ranges that repeated strings cover; others have no row."""
     rows = docs.select(F.col(key).alias("key"), utf8(text).alias("text"))
-    found = repeated(rows, byte_units, byte_pieces, lambda held: compare(held, length), min(GRAM, 1 << (length // 2).bit_length() - 1), length)
+    held: list[str] = []
+    found = repeated(rows, byte_units, byte_pieces, lambda shard: compare(shard, length), min(GRAM, 1 << (length // 2).bit_length() - 1), length, held)
     span = F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + length).alias("hi"))
-    return found.groupBy("key").agg(F.collect_list(span).alias("spans"))
+    spans = stored(found.groupBy("key").agg(F.collect_list(span).alias("spans")), "spans")
+    released(docs.sparkSession, held)
+    return spans
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, kept binary, n_bytes, n_removed, n_spans) for every row of docs."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind = kind_of(docs, key)
     rows = docs.select(F.col(key).alias("key"), utf8(text).alias("text")).join(spans, "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
