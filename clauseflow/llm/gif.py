@@ -2,11 +2,14 @@
 
 ``encode_gifs`` stores 8-bit samples as the frames of a GIF; ``decode_gifs`` parses any GIF87a or
 GIF89a: LZW code streams, global and local palettes, interlacing, transparency and the four
-disposal methods. Both are narrow maps over Arrow batches, one row at a time, so that memory is
-bounded by a batch and nothing is shuffled.
-
-Defined cases: a null or empty payload becomes an image of one blank row; a null medium, or bytes
-that are no GIF, give no frames and an ``error``; repeated rows are encoded alike.
+disposal methods. ``round_trip_gifs`` does both in one pass. They are narrow maps over Arrow batches,
+one row at a time, so that memory is bounded by a batch and nothing is shuffled; a text's cost is in
+proportion to its length.
+
+Defined cases: a null or empty payload becomes an image of one blank row; a null medium, bytes that
+are no GIF, or an image that asks for more than ``CANVAS`` pixels of canvas or ``PIXELS`` in all give
+no frames and an ``error``; repeated rows are encoded alike; columns that have the name of one that
+an operator adds are replaced by it, all others are passed on.
 """
 
 from __future__ import annotations
@@ -20,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, table, utf8
+from .common import batches_of, table, utf8, without
 
 WIDTH, ROWS, DELAY = 192, 64, 4
+#: Pixels that an image may have: bytes of a few dozen can ask for a canvas of four thousand million.
+CANVAS, PIXELS = 1 << 24, 1 << 31
 
 FRAME = T.StructType(
     [
@@ -205,7 +210,9 @@ def decode_gif(data: bytes) -> list[dict]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF signature")
     width, height, packed, _, _ = struct.unpack_from("<HHBBB", data, 6)
-    at, shared = 13, np.zeros((256, 3), np.uint8)
+    if width * height > CANVAS:
+        raise ValueError(f"a canvas of {width} x {height} is larger than {CANVAS} pixels")
+    at, shared, left_over = 13, np.zeros((256, 3), np.uint8), PIXELS
     if packed & 0x80:
         shared, at = _palette(data, at, packed)
     canvas = np.zeros((height, width, 3), np.uint8)
@@ -221,6 +228,9 @@ def decode_gif(data: bytes) -> list[dict]:
         if data[at] != 0x2C:
             raise ValueError(f"block {data[at]:#x} is unknown")
         left, top, w, h, packed = struct.unpack_from("<HHHHB", data, at + 1)
+        left_over -= w * h
+        if w * h > CANVAS or left_over < 0:
+            raise ValueError(f"a frame of {w} x {h} is larger than allowed")
         at, palette = at + 10, shared
         if packed & 0x80:
             palette, at = _palette(data, at, packed)
@@ -256,41 +266,63 @@ def decode_gif(data: bytes) -> list[dict]:
     return frames
 
 
-def _mapped(df: DataFrame, column: str, added: list[tuple[str, str, pa.DataType]], work) -> DataFrame:
-    """df without ``column``'s values in Python but with new columns that ``work(value)`` returns."""
+Added = list[tuple[str, str, pa.DataType]]
+
+
+def _mapped(df: DataFrame, column: str, added: Added, work) -> DataFrame:
+    """df with new columns that ``work(value of column)`` returns."""
+    names = [n for n, _, _ in added]
+    kept = without(df, *names)
+    if column not in kept.columns:
+        raise ValueError(f"{column} is read and written")
+    at = kept.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [work(v) for v in batch.column(column).to_pylist()]
+            made = [work(v) for v in batch.column(at).to_pylist()]
             arrays = [pa.array([m[i] for m in made], kind) for i, (_, _, kind) in enumerate(added)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *(n for n, _, _ in added)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])
 
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t, _ in added)])
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t, _ in added)])
     batches_of(df.sparkSession, 500)
-    return df.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
-def encode_gifs(df: DataFrame, payload: str, media: str = "media") -> DataFrame:
-    """Adds the binary column ``media``: the GIF of the samples in ``payload``, padded with blanks."""
+def _encoded(value: bytes | None) -> bytes:
+    value = value or b""
+    return encode_gif(value.ljust(max(WIDTH, -(-len(value) // WIDTH) * WIDTH)))
+
+
+def _decoded(value: bytes | None) -> tuple[list[dict], str | None]:
+    try:
+        return decode_gif(value or b""), None
+    except (ValueError, IndexError, struct.error) as problem:
+        return [], f"{type(problem).__name__}: {problem}"
 
-    def work(value: bytes | None) -> tuple[bytes]:
-        value = value or b""
-        return (encode_gif(value.ljust(max(WIDTH, -(-len(value) // WIDTH) * WIDTH))),)
 
-    return _mapped(df, payload, [(media, "binary", pa.binary())], work)
+_FRAMES: Added = [("frames", T.ArrayType(FRAME).simpleString(), _ARROW_FRAME), ("error", "string", pa.string())]
+
+
+def encode_gifs(df: DataFrame, payload: str, media: str = "media") -> DataFrame:
+    """Adds the binary column ``media``: the GIF of the samples in ``payload``, padded with blanks."""
+    return _mapped(df, payload, [(media, "binary", pa.binary())], lambda v: (_encoded(v),))
 
 
 def decode_gifs(df: DataFrame, media: str = "media") -> DataFrame:
     """Adds ``frames`` (array of FRAME) and ``error`` (null unless the bytes can't be read)."""
+    return _mapped(df, media, _FRAMES, _decoded)
+
+
+def round_trip_gifs(df: DataFrame, payload: str, media: str = "media", samples: str = "samples") -> DataFrame:
+    """Adds ``media``, what is read back from it (``frames`` and ``error`` as ``decode_gifs`` has them,
+    but without luma) and ``samples``, the frames' luma one after another."""
 
-    def work(value: bytes | None) -> tuple[list[dict], str | None]:
-        try:
-            return decode_gif(value or b""), None
-        except (ValueError, IndexError, struct.error) as problem:
-            return [], f"{type(problem).__name__}: {problem}"
+    def work(value: bytes | None) -> tuple[bytes, bytes, list[dict], str | None]:
+        stored = _encoded(value)
+        frames, error = _decoded(stored)
+        return stored, b"".join(f["luma"] for f in frames), [f | {"luma": None} for f in frames], error
 
-    added = [("frames", T.ArrayType(FRAME).simpleString(), _ARROW_FRAME), ("error", "string", pa.string())]
-    return _mapped(df, media, added, work)
+    return _mapped(df, payload, [(media, "binary", pa.binary()), (samples, "binary", pa.binary()), *_FRAMES], work)
 
 
 def frame_rows(decoded: DataFrame, *keys: str) -> DataFrame:
@@ -300,18 +332,13 @@ def frame_rows(decoded: DataFrame, *keys: str) -> DataFrame:
 
 def op1_gif_media(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", utf8("text").alias("text"))
-    n = F.octet_length("text")
-    blanks = (F.greatest(F.ceil(n / WIDTH), F.lit(1)) * WIDTH - n).cast("int")
-    padded = docs.select("doc_id", n.cast("long").alias("n_bytes"), F.concat("text", F.repeat(F.lit(" "), blanks).cast("binary")).alias("payload"))
-    media = encode_gifs(padded, "payload").drop("payload")
-    frames = decode_gifs(media)
-    read = frames.withColumn("payload", F.aggregate("frames", F.lit(b""), lambda a, f: F.concat(a, f["luma"])))
+    read = round_trip_gifs(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text"), "text")
     return read.select(
         "doc_id",
         "n_bytes",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring("samples", -16, 16)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws(
