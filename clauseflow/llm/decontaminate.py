@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, table
+from .common import arrow_type, batches_of, column, kind_of, stored, table
 
 PER, LEAST, BLOCK = 12, 24, 1 << 22
 
@@ -79,8 +79,9 @@ class Pattern:
 class Searcher:
     """All items of a block: one automaton of their pieces, and a pattern for each item."""
 
-    def __init__(self, items: list[tuple[int, str]], per: int) -> None:
-        self.items = [(key, item, budget(item, per), Pattern(item)) for key, item in items]
+    def __init__(self, items: list[tuple[object, str]], per: int, least: int = LEAST) -> None:
+        self.items = [(key, item, budget(item, per) if len(item) >= least else 0, Pattern(item)) for key, item in items]
+        self.least = least
         found: dict[str, list[tuple[int, int]]] = {}
         for i, (_, item, edits, _) in enumerate(self.items):
             for at, piece in pieces(item, edits):
@@ -96,6 +97,8 @@ class Searcher:
         for end, (size, places) in self.automaton.iter(text):
             for i, at in places:
                 _, item, edits, _ = self.items[i]
+                if len(item) < self.least and not _whole(text, end + 1 - size, end + 1):
+                    continue
                 lo = max(0, end + 1 - size - at - edits)
                 hi = min(len(text), end + 1 - size - at + len(item) + edits)
                 held = spans.setdefault(i, [])
@@ -112,53 +115,58 @@ class Searcher:
         return out
 
 
-def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """The normalised items in blocks of bounded size."""
-    rows = items.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    total = rows.agg(F.sum(F.char_length(text))).first()[0] or 0
+def _whole(text: str, lo: int, hi: int) -> bool:
+    """Whether no letter or digit stands before or behind text[lo:hi]."""
+    return not (text[lo - 1 : lo].isalnum() or text[hi : hi + 1].isalnum())
+
+
+def _blocks(items: DataFrame, key: str, text: str) -> Iterator[tuple[int, list[tuple[object, str]]]]:
+    """The number of blocks, and the normalised items of each block, of bounded size."""
+    rows = items.select(column(key).alias("key"), column(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
+    total = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = -(-total // BLOCK) or 1
     for i in range(n):
-        part = rows.where(F.pmod(F.xxhash64(key, text), F.lit(n)) == i).select(key, text)
-        yield [(r[0], normal(r[1])) for r in part.collect()]
+        part = rows.where(F.pmod(F.xxhash64("key", "text"), F.lit(n)) == i)
+        yield n, [(r[0], normal(r[1])) for r in part.collect()]
 
 
-def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", per: int = PER, least: int = LEAST) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", per: int = PER, least: int = LEAST, shortest: int = 1) -> DataFrame:
     """(key, item_key, edits, end): a row for each document and item within its error budget.
 
-    ``end`` is where the first best match ends in the normalised text. A narrow map.
+    ``end`` is where the first best match ends in the normalised text. Items under ``shortest``
+    characters are left aside. A narrow map.
     """
-    kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    kind, item_kind, item_type = kind_of(docs, key), kind_of(items, item_key), arrow_type(items, item_key)
+    rows = docs.where(column(text).isNotNull()).select(column(key).alias("key"), column(text).alias("text"))
     batches_of(docs.sparkSession)
     made = []
-    for block in _blocks(items, item_key, item_text):
-        held = [(k, item) for k, item in block if len(item) >= least]
+    for blocks, block in _blocks(items, item_key, item_text):
+        held = [(k, item) for k, item in block if len(item) >= shortest]
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(held, per) if held else None
+            searcher = Searcher(held, per, least) if held else None
             for batch in batches:
                 row, found = [], []
                 for i, raw in enumerate(batch.column(1).to_pylist() if searcher else []):
                     hits = searcher.search(normal(raw))
                     found += hits
                     row += [i] * len(hits)
-                columns = [pa.array([f[j] for f in found], t) for j, t in enumerate((_ITEM[item_kind], pa.int32(), pa.int32()))]
+                columns = [pa.array([f[j] for f in found], t) for j, t in enumerate((item_type, pa.int32(), pa.int32()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *columns], names=["key", "item", "edits", "end"])
 
-        made.append(rows.mapInArrow(run, f"key {kind}, item {item_kind}, edits int, end int"))
+        found = rows.mapInArrow(run, f"key {kind}, item {item_kind}, edits int, end int")
+        made.append(found if blocks == 1 else stored(found, "matches"))
     out = made[0]
     for more in made[1:]:
         out = out.union(more)
     return out.toDF(key, item_key, "edits", "end")
 
 
-_ITEM = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
-def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents in which no item stands; rows without a key stay."""
-    leaks = matches(docs, items, key, text, **options).select(F.col(key).alias("__leak")).distinct()
-    return docs.join(leaks, docs[key] == leaks["__leak"], "left_anti")
+def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", shortest: int = LEAST, **options) -> DataFrame:
+    """The documents in which no item of ``shortest`` characters or more stands; rows without a key
+    stay."""
+    leaks = matches(docs, items, key, text, shortest=shortest, **options).select(key).distinct()
+    return docs.join(leaks, key, "left_anti")
 
 
 def op10_benchmark_decontamination(spark, sf_dir):

@@ -8,7 +8,8 @@ parameters (trees x nodes), never of the data.
 
 Defined cases: null is empty; an empty text has all-zero statistics and gets a score like any
 other; labels that are null are ignored, and of several labels of one key the greatest counts;
-without labels of both classes every score is the share of label 1 (0.5 if there are none).
+without labels of both classes every score is the share of label 1 (0.5 if there are none); a
+column that has the name of the score's is replaced by it, all others are passed on.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import batches_of, table, utf8
+from .common import batches_of, kind_of, table, utf8, without
 
 TRAIN_ROWS, TREES, DEPTH, BINS, RATE, LEAST_ROWS, RIDGE = 10_000, 80, 4, 64, 0.15, 10, 1.0
 
@@ -160,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label"))
     sample = marks.orderBy(F.xxhash64("key"), "key").limit(rows)
     picked = docs.select(F.col(key).alias("key"), utf8(text).alias("text")).join(F.broadcast(sample), "key")
-    kind = picked.schema["key"].dataType.simpleString()
+    kind = kind_of(picked, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,25 +176,22 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return Trees().fit(x, found.column("label").to_numpy(zero_copy_only=False).astype(float)[order])
 
 
-def scored(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with ``score`` (double) for every row, from the text alone."""
-    names = docs.columns
+def scored(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "text", score: str = "score") -> DataFrame:
+    """docs with the column ``score`` (double) for every row, from the text alone."""
+    kept = without(docs, score)
+    at = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [(t or "").encode() for t in batch.column(text).to_pylist()]
+            raw = [(t or "").encode() for t in batch.column(at).to_pylist()]
             x = np.array([statistics(t) for t in raw], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*names, "__score"])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*batch.schema.names, score])
 
     batches_of(docs.sparkSession)
-    out = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
-    return out
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(score, DoubleType())]))
 
 
 def op8_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
-    marked = scored(docs, model).withColumnRenamed("__score", "score")
-    return marked.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return scored(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

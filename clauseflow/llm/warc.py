@@ -8,12 +8,13 @@ any store, and each content is a valid ``.warc.zst`` file.
 
 Of records with equal payloads (by length and SHA-1) of at least ``least`` bytes the one with the
 greatest key is stored as ``response``; the others are ``revisit`` records that name it and have no
-payload. The greatest key comes from an aggregate that combines before its shuffle, so a payload
-that very many pages share is no hot group.
+payload. The greatest key comes from an aggregate of digests that combines before its shuffle, so a
+payload that very many pages share is no hot group; only pages whose digest may repeat are shuffled.
 
 Defined cases: a null payload is empty; a null URL becomes ``urn:unknown``; pages with equal keys
 count as one origin (none refers to itself); rows with a null key are left out; an empty table
-gives no bundles.
+gives no bundles; keys may have any type that casts to a string and back; other columns, whatever
+their names, are left alone (``marked`` replaces one that has the name of its own).
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, shared_dir, table
+from ..sources.scratch import fresh_path
+from .common import arrow_type, batches_of, column, columns, flagged, kind_of, spare, table, without
 
 FRAME_BYTES, BUNDLE_BYTES, LEAST = 1 << 18, 1 << 22, 0
 _DATE = "2026-01-01T00:00:00Z"
@@ -46,7 +49,7 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def write_record(key: int, url: str | None, payload: bytes, origin: int | None) -> bytes:
+def write_record(key: object, url: str | None, payload: bytes, origin: object | None) -> bytes:
     """One WARC/1.1 record; with an origin, a revisit of that record."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + b"Content-Length: %d\r\n\r\n" % len(payload)
     block = head + (payload if origin is None else b"")
@@ -56,10 +59,10 @@ def write_record(key: int, url: str | None, payload: bytes, origin: int | None)
         ("WARC-Date", _DATE),
         ("WARC-Target-URI", (url or "urn:unknown").replace("\r", " ").replace("\n", " ")),
         ("WARC-Payload-Digest", f"sha1:{digest(payload)}"),
-        ("WARC-Page-Key", str(key)),
+        ("WARC-Page-Key", quote(str(key))),
     ]
     if origin is not None:
-        fields += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(origin)), ("WARC-Refers-To-Key", str(origin))]
+        fields += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(origin)), ("WARC-Refers-To-Key", quote(str(origin)))]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode() + block + b"\r\n\r\n"
 
@@ -107,14 +110,24 @@ def read_frame(bundle: bytes, place: tuple[int, int, int]) -> bytes:
     return zstandard.ZstdDecompressor().decompress(bundle[at : at + coded], max_output_size=size)
 
 
-def marked(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = LEAST) -> DataFrame:
-    """pages with ``origin``: the key of the record that a page revisits, null for responses."""
-    rows = pages.where(F.col(key).isNotNull()).withColumn("__payload", F.coalesce(F.col(payload), F.lit("")).cast("binary"))
-    rows = rows.withColumn("__sha", F.sha1("__payload")).withColumn("__size", F.octet_length("__payload"))
-    last = rows.where(F.col("__size") >= least).groupBy("__sha", "__size").agg(F.max(key).alias("__last"), F.count("*").alias("__n"))
-    joined = rows.join(last.where("__n > 1").drop("__n"), ["__sha", "__size"], "left")
-    origin = F.when(F.col("__last") > F.col(key), F.col("__last"))
-    return joined.select(*(rows[c] for c in pages.columns), "__payload", origin.alias("origin"))
+def marked(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = LEAST, origin: str = "origin") -> DataFrame:
+    """pages with a key, and ``origin``: the key of the record that a page revisits, null for responses."""
+    kept = without(pages, origin)
+    content, sha, size, last, n, again = spare(kept, "content", "sha", "size", "last", "n", "again")
+    body = F.coalesce(column(payload), F.lit("")).cast("binary")
+    rows = kept.where(column(key).isNotNull()).withColumn(sha, F.sha1(body)).withColumn(size, F.octet_length(body).cast("bigint"))
+    groups = rows.where(F.col(size) >= least).groupBy(sha, size).agg(F.max(column(key)).alias(last), F.count("*").alias(n))
+    groups = groups.where(F.col(n) > 1).drop(n)
+    marks = flagged(rows, sha, groups, sha, again)
+    own = columns(kept)
+    alone = marks.where(~F.col(again)).select(*own, F.lit(None).cast(kind_of(kept, key)).alias(origin))
+    joined = marks.where(F.col(again)).join(groups, [sha, size], "left")
+    return alone.union(joined.select(*own, F.when(F.col(last) > column(key), F.col(last)).alias(origin)))
+
+
+def _bundle(key: pa.DataType) -> pa.Schema:
+    entry = pa.struct([("key", key), ("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int32())])
+    return pa.schema([("bundle", pa.string()), ("content", pa.binary()), ("entries", pa.list_(entry))])
 
 
 def write_bundles(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST) -> None:
@@ -122,10 +135,10 @@ def write_bundles(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
     The number of bundles follows the payloads' size.
     """
-    spark = pages.sparkSession
-    kind = pages.schema[key].dataType.simpleString()
-    rows = marked(pages, key, payload, least).select(F.col(key).alias("key"), F.col(url).alias("url"), F.col("__payload").alias("payload"), "origin")
-    batches_of(spark, 200)
+    kind, schema = kind_of(pages, key), _bundle(arrow_type(pages, key))
+    plain = pages.select(column(key).alias("key"), column(url).alias("url"), column(payload).alias("payload"))
+    rows = marked(plain, "key", "payload", least).select("key", "url", F.coalesce("payload", F.lit("")).cast("binary").alias("payload"), "origin")
+    batches_of(pages.sparkSession, 200)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frames: list[bytes] = []
@@ -134,7 +147,7 @@ def write_bundles(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
         def bundle() -> pa.RecordBatch:
             content = pack([*frames, b"".join(held)] if held else frames)
-            return pa.RecordBatch.from_pylist([{"bundle": name, "content": content, "entries": entries}], _BUNDLE)
+            return pa.RecordBatch.from_pylist([{"bundle": name, "content": content, "entries": entries}], schema)
 
         for batch in batches:
             for k, u, p, origin in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -157,9 +170,6 @@ def write_bundles(pages: DataFrame, path: str, key: str = "page_id", url: str =
     made.write.parquet(f"{path}/all")
 
 
-_BUNDLE = pa.schema([("bundle", pa.string()), ("content", pa.binary()), ("entries", pa.list_(pa.struct([("key", pa.int64()), ("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int32())])))])
-
-
 def index(spark, path: str) -> DataFrame:
     """(key, record_id, frame, offset, bundle)."""
     return spark.read.parquet(f"{path}/all").select(F.inline("entries"), "bundle")
@@ -175,7 +185,8 @@ def read_bundles(spark, path: str, wanted: DataFrame | None = None) -> DataFrame
     asked = places.groupBy("bundle").agg(F.collect_list(F.struct("frame", "offset")).alias("asked"))
     rows = spark.read.parquet(f"{path}/all").select("bundle", "content").join(asked, "bundle").select("content", "asked")
     batches_of(spark, 4)  # a row is a whole bundle
-    schema = pa.schema([("key", pa.int64()), ("record_type", pa.string()), ("url", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload_size", pa.int64()), ("payload", pa.binary())])
+    kind = kind_of(places, "key")
+    schema = pa.schema([("key", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload_size", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,14 +202,15 @@ def read_bundles(spark, path: str, wanted: DataFrame | None = None) -> DataFrame
                         if fields["WARC-Type"] == "response" and f"sha1:{digest(payload)}" != fields["WARC-Payload-Digest"]:
                             raise ValueError(f"{fields['WARC-Record-ID']} is damaged")
                         refers = fields.get("WARC-Refers-To-Key")
-                        out.append((int(fields["WARC-Page-Key"]), fields["WARC-Type"], fields["WARC-Target-URI"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), refers and int(refers), int(http["Content-Length"]), payload))
+                        out.append((unquote(fields["WARC-Page-Key"]), fields["WARC-Type"], fields["WARC-Target-URI"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), refers and unquote(refers), int(http["Content-Length"]), payload))
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, o, strict=True)) for o in out], schema)
 
-    return rows.mapInArrow(run, "key bigint, record_type string, url string, payload_digest string, refers_to bigint, payload_size bigint, payload binary")
+    found = rows.mapInArrow(run, "key string, record_type string, url string, payload_digest string, refers_to string, payload_size bigint, payload binary")
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("key", "refers_to")})
 
 
 def op7_warc_bundles(spark, sf_dir):
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "warc")
     write_bundles(table(spark, sf_dir, "pages"), path)
     read = read_bundles(spark, path)
     return read.select(F.col("key").alias("page_id"), F.col("payload_size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

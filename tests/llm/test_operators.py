@@ -211,7 +211,7 @@ def test_quality_edges(spark, docs):
     assert len(quality.statistics(b"")) == len(quality.statistics(b"A word, and\xc3\xa9 1 | 2.\n")) == len(quality.FEATURES)
     table = docs([None, "", "plain words in a row. " * 30, "%%% $$$ " * 50])
     model = quality.train(table, spark.createDataFrame([], "doc_id bigint, quality int"))
-    assert [r["__score"] for r in quality.scored(table, model).collect()] == [0.5] * 4
+    assert [r["score"] for r in quality.scored(table, model).collect()] == [0.5] * 4
     assert quality.scored(docs([]), model).count() == 0
     keys = spark.range(50).withColumnRenamed("id", "doc_id")
     marked = keys.select("doc_id", quality.held_out("doc_id").alias("h")).collect()
