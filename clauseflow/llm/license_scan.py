@@ -1,202 +1,185 @@
 """License scans by conditional compression.
 
-A text that speaks of licensing is cut into candidate blocks: the words around its trigger words,
-where blocks that touch become one (but no block exceeds ``BLOCK_WORDS``; longer stretches are
-covered by blocks that overlap by the longest template). Each block is compressed by itself and
-with each template as a raw zstandard dictionary; templates are ranked by how many bytes they save.
-Those that save enough are confirmed by the exact differences in wording: the template's words are
-aligned with the block's, and the missing and the extra words are counted and listed.
-
-A narrow map over the documents that a built-in regular expression lets through; nothing is
-shuffled, and the templates, a fixed list, go to every task.
+Texts are words of ASCII letters, digits and any other characters beyond ASCII, lower-cased; what is
+between them does not count. A template stands at a place if the words that both have in common, in
+order, are ``LIKENESS`` of the template's words and of those added in between.
+
+Such a place lacks a share of the template's words at the most, so of any words that make up more
+than that share it has one. For each template the longest words are taken, until they do: the
+triggers. Words around triggers are the candidate blocks; long stretches are cut into blocks of
+``BLOCK`` words. Each block is compressed by itself and with each template as a raw zstandard
+dictionary, and templates are ranked by how many bytes they save. Those that save more than
+``SAVED`` of what the block or the template (the smaller) takes by itself are confirmed by the exact
+differences in wording: the template's words are aligned with the words of the block and of its
+surroundings as far as the template can reach, and missing and extra words are listed.
+
+A narrow map over the documents that have a trigger, by a built-in regular expression; nothing is
+shuffled, and the templates, a fixed list, go to every task. A text's cost is in proportion to its
+length times that of the templates.
 
 Defined cases: null and empty texts give no rows; repeated rows give rows of their own; a license
-named twice in one document gives a row for each place; case, punctuation and line breaks do not
-count as differences.
+named twice in one document gives a row for each place; of templates that cover the same words the
+one with more words in common counts; case, punctuation and line breaks do not count as
+differences; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, table, utf8
-
-TRIGGER = "licen[cs]e|copyright|spdx|permission is hereby|creative commons|public domain|redistribution|warrant"
-AROUND, BLOCK_WORDS, SAVED, LIKENESS = 24, 600, 0.15, 0.8
-
-#: Public license notices and the sentences by which texts name these licenses.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
-        'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
-        "See the License for the specific language governing permissions and limitations under the License."
-    ),
-    "MIT": "Released under the MIT License.",
-    "MIT-text": (
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
-        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
-    ),
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
-        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
-        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
-    ),
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "BSD-3-Clause-text": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
-        "and/or other materials provided with the distribution."
-    ),
-    "ISC-text": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-        "provided that the above copyright notice and this permission notice appear in all copies."
-    ),
-    "MPL-2.0-header": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. "
-        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
-    ),
-    "All-rights-reserved": "All rights reserved.",
-    "Unlicense-text": "This is free and unencumbered software released into the public domain.",
-}
-
-_WORD = regex.compile(r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*")
-_TRIGGER = regex.compile(TRIGGER, regex.IGNORECASE)
-
-
-def words_of(text: str) -> tuple[list[str], list[int]]:
-    """Lower-case words without punctuation, and where each begins."""
-    found = list(_WORD.finditer(text))
-    return [m.group().lower() for m in found], [m.start() for m in found]
-
-
-def trigger(templates: dict[str, str], likeness: float = LIKENESS) -> str:
-    """TRIGGER, and so many of each template's own words that a text that is like it has one.
-
-    A likeness allows a share of the words to be missing; one word more than that is taken, those
-    that TRIGGER finds anyway first, then the longest.
-    """
-    own: set[str] = set()
-    for text in templates.values():
-        words = words_of(text)[0]
-        most = len(words) - math.ceil(likeness * len(words) - 1e-9)
-        own.update(sorted(set(words), key=lambda w: (not _TRIGGER.search(w), -len(w), w))[: most + 1])
-    more = sorted(w.replace(".", "\\.") for w in own if not _TRIGGER.search(w))
-    return TRIGGER + (rf"|\b(?:{'|'.join(more)})\b" if more else "")
-
-
-def blocks(starts: list[int], triggers: list[int], longest: int, around: int = AROUND) -> list[tuple[int, int]]:
-    """Word ranges around the triggers' places in the text."""
-    from bisect import bisect_right
-
-    out: list[list[int]] = []
-    for place in triggers:
-        at = max(0, bisect_right(starts, place) - 1)
-        lo, hi = max(0, at - around), min(len(starts), at + around)
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(hi, out[-1][1])
+from .common import batches_of, column, kind_of, table, utf8
+from .license_texts import TEMPLATES
+
+AROUND, BLOCK, SAVED, LIKENESS = 4, 96, 0.0, 0.8
+
+_LETTERS = bytes(c if c > 127 or chr(c).isdigit() or chr(c).islower() else c + 32 if 65 <= c < 91 else 32 for c in range(256))
+
+
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(_LETTERS).split()
+
+
+def triggers(words: list[bytes], likeness: float = LIKENESS) -> set[bytes]:
+    """Words of a template one of which every place has that is like it."""
+    missing = len(words) - math.ceil(likeness * len(words) - 1e-9)
+    out: set[bytes] = set()
+    counts = Counter(words)
+    for word in sorted(counts, key=lambda w: (-len(w), w)):
+        if missing < 0:
+            break
+        out.add(word)
+        missing -= counts[word]
+    return out
+
+
+def blocks(places: list[int], size: int, around: int = AROUND, most: int = BLOCK) -> list[tuple[int, int]]:
+    """Word ranges around the triggers' places; what touches is one stretch, cut at ``most`` words."""
+    stretches: list[list[int]] = []
+    for at in places:
+        lo, hi = max(0, at - around), min(size, at + around + 1)
+        if stretches and lo <= stretches[-1][1]:
+            stretches[-1][1] = hi
         else:
-            out.append([lo, hi])
-    cut = []
-    for lo, hi in out:
-        while hi - lo > BLOCK_WORDS:
-            cut.append((lo, lo + BLOCK_WORDS))
-            lo += BLOCK_WORDS - longest
-        cut.append((lo, hi))
-    return cut
+            stretches.append([lo, hi])
+    return [(at, min(at + most, hi)) for lo, hi in stretches for at in range(lo, hi, most)]
+
+
+class Template:
+    """A template's words and the compressor that has them as its dictionary."""
+
+    def __init__(self, name: str, text: str, likeness: float) -> None:
+        self.name, self.words = name, words_of(text.encode())
+        self.reach = math.ceil(len(self.words) / likeness)
+        content = b" ".join(self.words)
+        held = zstandard.ZstdCompressionDict(content.rjust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.coder = zstandard.ZstdCompressor(level=3, dict_data=held, write_content_size=False, write_dict_id=False)
+        self.size = len(_PLAIN.compress(content))
+
+
+_PLAIN = zstandard.ZstdCompressor(level=3, write_content_size=False)
 
 
 class Scanner:
-    """The templates as dictionaries, ready to compress with."""
+    """All templates, ready to compress with."""
 
     def __init__(self, templates: dict[str, str] = TEMPLATES, saved: float = SAVED, likeness: float = LIKENESS) -> None:
-        self.words = {name: words_of(text)[0] for name, text in templates.items()}
-        self.longest = 2 * max(map(len, self.words.values()), default=0)
+        self.templates = [Template(name, text, likeness) for name, text in templates.items() if words_of(text.encode())]
         self.saved, self.likeness = saved, likeness
-        self.trigger = regex.compile(trigger(templates, likeness), regex.IGNORECASE)
-        self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
-        self.coders = {
-            name: zstandard.ZstdCompressor(
-                level=3,
-                dict_data=zstandard.ZstdCompressionDict(" ".join(words).encode().rjust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-                write_content_size=False,
-                write_dict_id=False,
-            )
-            for name, words in self.words.items()
-        }
-
-    def ranked(self, block: bytes) -> list[tuple[float, str]]:
-        """Templates by the bytes that each saves, as a share of its own compressed size."""
-        alone = len(self.plain.compress(block))
-        out = []
-        for name, coder in self.coders.items():
-            own = len(self.plain.compress(" ".join(self.words[name]).encode()))
-            out.append(((alone - len(coder.compress(block))) / own, name))
-        return sorted(out, key=lambda x: (-x[0], x[1]))
-
-    def places(self, name: str, words: list[str]) -> list[dict]:
-        """Where the template stands in the words, with the differences in wording; what lies before and behind each run is searched as well."""
-        template, out, open_ = self.words[name], [], [(0, len(words))]
+        self.triggers = set().union(*(triggers(t.words, likeness) for t in self.templates))
+
+    def ranked(self, block: bytes) -> list[tuple[float, Template]]:
+        """Templates by the bytes that each saves, as a share of what the block or the template, the
+        smaller, takes by itself."""
+        alone = len(_PLAIN.compress(block))
+        shares = [((alone - len(t.coder.compress(block))) / min(alone, t.size), t) for t in self.templates]
+        return sorted(shares, key=lambda x: (-x[0], x[1].name))
+
+    def places(self, template: Template, words: list[bytes], lo: int, hi: int) -> list[dict]:
+        """Where the template stands in the words so as to reach into lo..hi, with the differences in
+        wording. What lies before and behind each common run is searched as well."""
+        out, open_ = [], [(max(0, lo - template.reach), min(len(words), hi + template.reach))]
+        least = max(1, int(self.likeness * len(template.words)) // (len(template.words) - int(self.likeness * len(template.words)) + 1))
         while open_:
             start, stop = open_.pop()
-            core = SequenceMatcher(None, template, words[start:stop], autojunk=False).find_longest_match()
-            if core.size < max(2, len(template) // 8):
+            core = SequenceMatcher(None, template.words, words[start:stop], autojunk=False).find_longest_match()
+            if core.size < least:
                 continue
-            # the template lies around its longest common run, give or take half its length
-            slack = len(template) // 2 + 2
-            lo = max(start, start + core.b - core.a - slack)
-            hi = min(stop, start + core.b - core.a + len(template) + slack)
-            near = words[lo:hi]
-            runs = [m for m in SequenceMatcher(None, template, near, autojunk=False).get_matching_blocks() if m.size]
-            first, end = runs[0].b, runs[-1].b + runs[-1].size
-            same = sum(m.size for m in runs)
-            held = {i for m in runs for i in range(m.a, m.a + m.size)}
-            kept = {i for m in runs for i in range(m.b, m.b + m.size)}
-            missing = [w for i, w in enumerate(template) if i not in held]
-            extra = [near[i] for i in range(first, end) if i not in kept]
-            likeness = same / (len(template) + len(extra))
-            if likeness >= self.likeness:
-                out.append({"license": name, "first_word": lo + first, "words": end - first, "likeness": likeness, "missing": missing, "extra": extra})
-                open_ += [(start, lo + first), (lo + end, stop)]
+            slack = template.reach - len(template.words) + 2
+            a = max(start, start + core.b - core.a - slack)
+            b = min(stop, start + core.b - core.a + len(template.words) + slack)
+            place = self._aligned(template, words[a:b], a)
+            if place["likeness"] >= self.likeness:
+                first, end = place["first_word"], place["first_word"] + place["words"]
+                if first < hi and end > lo:
+                    out.append(place)
+                open_ += [(start, first), (end, stop)]
             else:
                 open_ += [(start, start + core.b), (start + core.b + core.size, stop)]
         return out
 
-    def scan(self, text: str) -> list[dict]:
-        words, starts = words_of(text)
-        if not words:
-            return []
+    def _aligned(self, template: Template, near: list[bytes], at: int) -> dict:
+        runs = [m for m in SequenceMatcher(None, template.words, near, autojunk=False).get_matching_blocks() if m.size]
+        runs = _inner(runs, len(template.words))
+        first, end = runs[0].b, runs[-1].b + runs[-1].size
+        held = {i for m in runs for i in range(m.a, m.a + m.size)}
+        kept = {i for m in runs for i in range(m.b, m.b + m.size)}
+        missing = [w.decode() for i, w in enumerate(template.words) if i not in held]
+        extra = [near[i].decode() for i in range(first, end) if i not in kept]
+        likeness = len(held) / (len(template.words) + len(extra))
+        return {"license": template.name, "first_word": at + first, "words": end - first, "likeness": likeness, "missing": missing, "extra": extra}
+
+    def scan(self, text: bytes) -> list[dict]:
+        words = words_of(text)
         found: dict[tuple[int, str], dict] = {}
-        for lo, hi in blocks(starts, [m.start() for m in self.trigger.finditer(text)], self.longest):
-            part = words[lo:hi]
-            for saved, name in self.ranked(" ".join(part).encode()):
-                if saved < self.saved:
+        for lo, hi in blocks([i for i, w in enumerate(words) if w in self.triggers], len(words)):
+            for saved, template in self.ranked(b" ".join(words[lo:hi])):
+                if saved <= self.saved:
                     break
-                for place in self.places(name, part):
-                    place |= {"first_word": lo + place["first_word"], "saved": round(saved, 6), "likeness": round(place["likeness"], 6)}
-                    found.setdefault((place["first_word"], name), place)
-        # of templates that cover the same words, the one with the longer match says more
-        out: list[dict] = []
-        for place in sorted(found.values(), key=lambda p: (-p["words"], -p["likeness"], -p["saved"], p["license"], p["first_word"])):
-            lo, hi = place["first_word"], place["first_word"] + place["words"]
-            if all(hi <= o["first_word"] or o["first_word"] + o["words"] <= lo for o in out):
-                out.append(place)
-        return sorted(out, key=lambda p: p["first_word"])
+                for place in self.places(template, words, lo, hi):
+                    place |= {"saved": round(saved, 6), "likeness": round(place["likeness"], 6)}
+                    held = found.setdefault((place["first_word"], template.name), place)
+                    held["saved"] = max(held["saved"], place["saved"])
+        return chosen(list(found.values()))
+
+
+def _inner(runs: list, size: int) -> list:
+    """The common runs less those at either end that cost more extra words than they have in common."""
+    while len(runs) > 1 and runs[0].size < runs[1].b - runs[0].b - runs[0].size:
+        runs = runs[1:]
+    while len(runs) > 1 and runs[-1].size < runs[-1].b - runs[-2].b - runs[-2].size:
+        runs = runs[:-1]
+    return runs
+
+
+def chosen(places: list[dict]) -> list[dict]:
+    """Of places that share words, those with more words in common; in order of place."""
+    out: list[dict] = []
+    ends: list[tuple[int, int]] = []
+    for place in sorted(places, key=lambda p: (len(p["extra"]) - p["words"], -p["likeness"], p["license"], p["first_word"])):
+        lo, hi = place["first_word"], place["first_word"] + place["words"]
+        at = bisect_right(ends, (lo, math.inf))
+        if (at == 0 or ends[at - 1][1] <= lo) and (at == len(ends) or hi <= ends[at][0]):
+            ends.insert(at, (lo, hi))
+            out.append(place)
+    return sorted(out, key=lambda p: p["first_word"])
+
+
+def pattern(templates: dict[str, str], likeness: float = LIKENESS) -> str:
+    """A Java pattern for texts that have a trigger."""
+    scanner = Scanner(templates, likeness=likeness)
+    words = "|".join(sorted(re.escape(w.decode()) for w in scanner.triggers))
+    letter = r"[a-zA-Z0-9\x{80}-\x{10ffff}]"
+    return f"(?i)(?<!{letter})(?:{words})(?!{letter})" if words else "(?!)"
 
 
 _SCHEMA = pa.schema([("license", pa.string()), ("first_word", pa.int32()), ("words", pa.int32()), ("saved", pa.float64()), ("likeness", pa.float64()), ("missing", pa.list_(pa.string())), ("extra", pa.list_(pa.string()))])
@@ -204,15 +187,16 @@ _SCHEMA = pa.schema([("license", pa.string()), ("first_word", pa.int32()), ("wor
 
 def license_places(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(key, license, first_word, words, saved, likeness, missing, extra): a row for each place."""
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.where(F.col(text).rlike(f"(?i){trigger(templates)}")).select(F.col(key).alias("key"), utf8(text).alias("text"))
+    kind = kind_of(docs, key)
+    plain = docs.select(column(key).alias("key"), column(text).alias("text"))
+    rows = plain.where(F.col("text").rlike(pattern(templates))).select("key", utf8("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
         for batch in batches:
             row, found = [], []
             for i, raw in enumerate(batch.column(1).to_pylist()):
-                places = scanner.scan(raw.decode())
+                places = scanner.scan(raw)
                 found += places
                 row += [i] * len(places)
             made = pa.RecordBatch.from_pylist(found, _SCHEMA)

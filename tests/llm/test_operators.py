@@ -233,7 +233,7 @@ def test_quality_held_out_accuracy(spark):
 
 
 def test_license_scan(docs):
-    mit = license_scan.TEMPLATES["MIT-text"]
+    mit = license_scan.TEMPLATES["MIT-text"].strip()
     near = mit.replace("free of charge", "at no charge").replace("\n", " ")
     texts = [None, "", "no such words", "Some prose. " * 200 + "Released under the MIT License. " + "More prose. " * 200, "x " * 900 + mit.upper() + " y" * 900, near, "The license plate was gone."]
     rows = license_scan.license_places(docs(texts)).collect()
@@ -244,12 +244,43 @@ def test_license_scan(docs):
     assert {i for i, _ in got} == {3, 4, 5}
 
 
-def test_every_license_is_its_own_best(docs):
-    names = list(license_scan.TEMPLATES)
+def test_every_license_is_its_own_best():
     scanner = license_scan.Scanner()
-    for name in names:
-        words = license_scan.words_of(license_scan.TEMPLATES[name])[0]
-        assert scanner.ranked(" ".join(words).encode())[0][1] == name
+    for template in scanner.templates:
+        assert scanner.ranked(b" ".join(template.words))[0][1] is template
+
+
+def brute_licenses(scanner, text):
+    """Every template against every stretch of the text, without triggers and compression."""
+    words = license_scan.words_of(text.encode())
+    found = {(p["first_word"], t.name): p for t in scanner.templates for p in scanner.places(t, words, 0, len(words))}
+    return [(p["license"], p["first_word"], p["words"], p["missing"], p["extra"]) for p in license_scan.chosen(list(found.values()))]
+
+
+def test_license_scan_equals_brute_force():
+    rng = random.Random(12)
+    own = {"long": " ".join(f"{rng.choice(['clause', 'grant', 'party', 'section'])}{rng.randrange(400)} of" for _ in range(750))}
+    scanner = license_scan.Scanner(license_scan.TEMPLATES | own)
+    prose = "river stone candle the software of any party section under morning license paper is free".split()
+    for _ in range(12):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            parts.append(" ".join(rng.choice(prose) for _ in range(rng.randrange(5, 300))))
+            words = rng.choice(list((license_scan.TEMPLATES | own).values())).split()
+            for _ in range(rng.choice([0, 0, 1, len(words) // 20])):
+                words[rng.randrange(len(words))] = rng.choice(["", "changed", "two words"])
+            parts.append(rng.choice([" ", "\n\n# "]).join(words))
+        text = "\n".join(parts)
+        got = [(p["license"], p["first_word"], p["words"], p["missing"], p["extra"]) for p in scanner.scan(text.encode())]
+        assert got == brute_licenses(scanner, text)
+
+
+def test_long_template_and_long_text(docs):
+    rng = random.Random(2)
+    own = {"own": " ".join(f"w{rng.randrange(5000)}" for _ in range(1500))}
+    text = "x " * 40_000 + own["own"] + " y" * 40_000 + (" " + own["own"]) * 3
+    rows = license_scan.license_places(docs([text, own["own"][:2000]]), templates=own).collect()
+    assert [(r.doc_id, r.first_word, r.words, r.likeness) for r in rows] == [(0, at, 1500, 1.0) for at in (40_000, 81_500, 83_000, 84_500)]
 
 
 def test_license_twice_and_empty(docs):
@@ -263,7 +294,7 @@ def test_license_places_before_a_longer_run():
     scanner = license_scan.Scanner()
     exact, reworded = "Released under the MIT License.", "Released under the MIT Licence."
     texts = [f"{reworded} {'word ' * 8}{exact}", f"{exact} {'word ' * 8}{reworded}", f"{reworded} {'word ' * 8}{exact} {'word ' * 8}{reworded}"]
-    got = [[round(p["likeness"], 3) for p in scanner.scan(text) if p["license"] == "MIT"] for text in texts]
+    got = [[round(p["likeness"], 3) for p in scanner.scan(text.encode()) if p["license"] == "MIT"] for text in texts]
     assert got == [[0.8, 1.0], [1.0, 0.8], [0.8, 1.0, 0.8]]
 
 
