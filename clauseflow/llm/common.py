@@ -69,6 +69,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(column(c) for c in df.columns if c.lower() not in gone))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns' places as their names, as Spark's Python maps cannot read all names."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def kind_of(df: DataFrame, name: str) -> str:
     return df.select(column(name)).schema[0].dataType.simpleString()
 
@@ -103,17 +108,19 @@ def flagged(rows: DataFrame, name: str, wanted: DataFrame, key: str, flag: str)
     if n > MOST_SLOTS:
         return rows.withColumn(flag, F.lit(True))
     slots = min(MOST_SLOTS, max(BUCKET, 1 << math.ceil(math.log2(16 * max(n, 1)))))
+    bucket, held, place = spare(rows, "bucket", "bits", "place")
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots)) + 1
-    bits = wanted.where(F.col(key).isNotNull()).select(slot(key).alias("__slot"))
-    maps = bits.groupBy(F.bitmap_bucket_number("__slot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits"))
+    bits = wanted.where(F.col(key).isNotNull()).select(slot(key).alias(place))
+    maps = bits.groupBy(F.bitmap_bucket_number(place).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(held))
     at = F.bitmap_bit_position(slot(name))
-    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(slot(name)) == F.col("__bucket"), "left")
-    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(slot(name)) == F.col(bucket), "left")
+    byte = F.conv(F.hex(F.substring(held, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     found = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0, F.lit(False)) & F.col(name).isNotNull()
-    return joined.select(*rows.columns, found.alias(flag))
+    return joined.select(*columns(rows), found.alias(flag))
 
 
 def sift(rows: DataFrame, name: str, wanted: DataFrame, key: str) -> DataFrame:
     """The rows that ``flagged`` marks. They are then joined exactly; the point is not to shuffle the
     rest."""
-    return flagged(rows, name, wanted, key, "__maybe").where("__maybe").drop("__maybe")
+    (maybe,) = spare(rows, "maybe")
+    return flagged(rows, name, wanted, key, maybe).where(F.col(maybe)).drop(maybe)

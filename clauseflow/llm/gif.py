@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, table, utf8, without
+from .common import batches_of, numbered, table, utf8, without
 
 WIDTH, ROWS, DELAY = 192, 64, 4
 #: Pixels that an image may have: bytes of a few dozen can ask for a canvas of four thousand million.
@@ -281,11 +281,11 @@ def _mapped(df: DataFrame, column: str, added: Added, work) -> DataFrame:
         for batch in batches:
             made = [work(v) for v in batch.column(at).to_pylist()]
             arrays = [pa.array([m[i] for m in made], kind) for i, (_, _, kind) in enumerate(added)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=schema.names)
 
     schema = T.StructType([*kept.schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t, _ in added)])
     batches_of(df.sparkSession, 500)
-    return kept.mapInArrow(run, schema)
+    return numbered(kept).mapInArrow(run, schema)
 
 
 def _encoded(value: bytes | None) -> bytes:

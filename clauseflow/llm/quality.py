@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import batches_of, kind_of, table, utf8, without
+from .common import batches_of, kind_of, numbered, table, utf8, without
 
 TRAIN_ROWS, TREES, DEPTH, BINS, RATE, LEAST_ROWS, RIDGE = 10_000, 80, 4, 64, 0.15, 10, 1.0
 
@@ -185,10 +185,11 @@ def scored(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "text
         for batch in batches:
             raw = [(t or "").encode() for t in batch.column(at).to_pylist()]
             x = np.array([statistics(t) for t in raw], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*batch.schema.names, score])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=schema.names)
 
     batches_of(docs.sparkSession)
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(score, DoubleType())]))
+    schema = StructType([*kept.schema.fields, StructField(score, DoubleType())])
+    return numbered(kept).mapInArrow(run, schema)
 
 
 def op8_quality_classifier(spark, sf_dir):
