@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import locate
+from ..functions.text import locate, pinned
 from ..schemas import CLAUSE_TYPES, MIN_IOU
 from ..sources.gold import normalize_doc_key
+from ..sources.scratch import fresh_path
 
 
 def keyed_findings(findings: DataFrame) -> DataFrame:
@@ -40,7 +41,8 @@ def place_findings(findings: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """
     keyed = keyed_findings(findings).select("finding_id", "doc_key", "clause_type", "quote")
     pairs = keyed.join(paragraphs.select("doc_key", "para_ix", "context"), "doc_key")
-    held = pairs.select("finding_id", "doc_key", "para_ix", locate(F.col("context"), F.coalesce("quote", F.lit(""))).alias("place")).where("place IS NOT NULL")
+    # computed once: the filter above is not pushed through the generator
+    held = pinned(pairs, "place", locate(F.col("context"), F.coalesce("quote", F.lit("")))).select("finding_id", "doc_key", "para_ix", "place").where("place IS NOT NULL")
     first = held.groupBy("finding_id", "doc_key").agg(F.min(F.struct("para_ix", "place.start", "place.end")).alias("p"))
     return keyed.drop("quote").join(first, ["finding_id", "doc_key"], "left").select("finding_id", "doc_key", "clause_type", F.col("p.para_ix").alias("para_ix"), F.col("p.start").alias("start"), F.col("p.end").alias("end"))
 
@@ -132,9 +134,13 @@ def eval_counters(findings: DataFrame, evaluated: DataFrame, paragraphs: DataFra
 
 
 def evaluate(findings: DataFrame, paragraphs: DataFrame, gold: DataFrame, ingested: DataFrame | None = None, min_iou: float = MIN_IOU) -> DataFrame:
-    """The whole comparison: the prf table over the evaluated documents."""
+    """The whole comparison: the prf table over the evaluated documents.
+
+    Places are written to the shared folder, as pairs and counts both read them."""
     documents = evaluated_documents(findings, paragraphs, ingested)
     ours = keyed_findings(findings).join(documents, "doc_key", "left_semi").drop("doc_key")
     theirs = gold.join(documents, "doc_key", "left_semi")
-    placed = place_findings(ours, paragraphs)
+    path = fresh_path(findings.sparkSession, "placed")
+    place_findings(ours, paragraphs).write.parquet(path)
+    placed = findings.sparkSession.read.parquet(path)
     return prf(placed, theirs, greedy_match(iou_pairs(placed, theirs, min_iou)))

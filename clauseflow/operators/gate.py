@@ -13,16 +13,18 @@ from .documents import page_for_offset
 def attach_source(findings: DataFrame, documents: DataFrame) -> DataFrame:
     """Adds what the checks need: whether there is a text, its length, the cited slice and the page.
 
-    The text itself stops at the join, so it is not carried once per finding into later stages.
+    The text itself stops at the join, so it is not carried once per finding into later stages, and
+    its length is that of the documents table.
     """
-    texts = documents.select("doc_id", F.col("full_text").alias("__text"), F.col("pages").alias("__pages"))
+    length = F.when(F.col("full_text").isNotNull(), F.col("char_length") if "char_length" in documents.columns else F.char_length("full_text"))
+    texts = documents.select("doc_id", F.col("full_text").alias("__text"), F.col("pages").alias("__pages"), length.alias("__length"))
     joined = findings.join(texts, "doc_id", "left")
     start, end = F.col("char_start"), F.col("char_end")
-    sound = (start >= 0) & (end > start) & (end <= F.char_length("__text"))
+    sound = (start >= 0) & (end > start) & (end <= F.col("__length"))
     mapped = F.coalesce(F.size("__pages") > 0, F.lit(False))
     return joined.select(
         *(F.col(c) for c in findings.columns),
-        F.char_length("__text").alias("__length"),
+        "__length",
         F.when(sound, F.substring("__text", start + 1, end - start)).alias("__slice"),
         F.when(mapped, page_for_offset(F.col("__pages"), start)).alias("__expected"),
     )

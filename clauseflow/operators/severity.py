@@ -28,6 +28,7 @@ def severity_for(clause: Column, terms: Column, deal: str) -> Column:
         return F.struct(F.lit(severity).alias("severity"), text.alias("reason"))
 
     control, assignment, cap = (clause == c for c in ("change_of_control", "anti_assignment", "indemnity_cap"))
+    # The reasons below, which reports and later stages compare by their wording.
     base = F.concat(F.lit("base:"), clause, F.lit(f"/{deal}"))
     rules: list[tuple[Column, Column]] = []
     if deal == "stock":

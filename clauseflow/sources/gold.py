@@ -41,8 +41,9 @@ def category_from_question(question: Column) -> Column:
     return F.try_element_at(table, label)
 
 
-def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    return paragraphs(spark.read.schema(SCHEMA).option("multiLine", True).json(path))
+def read_gold(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Paragraphs of annotation files: each one JSON object, or with ``lines`` one object in a line."""
+    return paragraphs(spark.read.schema(SCHEMA).option("multiLine", not lines).json(path))
 
 
 def paragraphs(gold: DataFrame) -> DataFrame:

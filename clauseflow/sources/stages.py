@@ -9,18 +9,26 @@ from ..functions.text import clean
 from ..schemas import PAGES, REQUIRED
 
 
-def read_stage(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = (), corrupt: str | None = None) -> DataFrame:
+def read_stage(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = (), corrupt: str | None = None, extra: str | None = None) -> DataFrame:
     """JSON lines with a declared schema. Blank lines are skipped.
 
     A malformed line ends the job, and so does a row without a required field, when that row is
-    read; with ``corrupt``, malformed lines land in that column instead.
+    read; with ``corrupt``, malformed lines land in that column instead. With ``extra``, that column
+    has the keys that the schema does not know, as a JSON object in the keys' order (null: none).
     """
-    reader = spark.read
-    if corrupt:
-        df = reader.schema(f"{schema}, {corrupt} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).json(path)
-    else:
-        df = reader.schema(schema).option("mode", "FAILFAST").json(path)
-    return require(df, required)
+    mode = "PERMISSIVE" if corrupt else "FAILFAST"
+    if extra is None:
+        reader = spark.read.option("mode", mode)
+        whole = f"{schema}, {corrupt} string" if corrupt else schema
+        reader = reader.option("columnNameOfCorruptRecord", corrupt) if corrupt else reader
+        return require(reader.schema(whole).json(path), required)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    fields = f"{schema}, {corrupt} string" if corrupt else schema
+    options = {"mode": mode} | ({"columnNameOfCorruptRecord": corrupt} if corrupt else {})
+    known = [f.name for f in spark.createDataFrame([], schema).schema]
+    held = F.map_filter(F.from_json("value", "map<string,variant>"), lambda k, v: ~k.isin(*known))
+    rows = lines.select(F.from_json("value", fields, options).alias("row"), F.when(F.size(held) > 0, F.to_json(held)).alias(extra))
+    return require(rows.select("row.*", extra), required)
 
 
 def require(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -35,8 +43,17 @@ def read_named_stage(spark: SparkSession, path: str, name: str, schema: str) ->
     return read_stage(spark, path, schema, REQUIRED.get(name, ()))
 
 
-def write_stage(df: DataFrame, path: str, format: str = "json") -> None:
-    df.write.format(format).save(path)
+def write_stage(df: DataFrame, path: str, format: str = "json", extra: str | None = None) -> None:
+    """Writes a stage; with ``extra``, JSON lines in which that column's keys stand beside the others."""
+    if extra is None:
+        df.write.format(format).save(path)
+        return
+    known = F.to_json(F.struct(*(c for c in df.columns if c != extra)))
+    more = F.regexp_replace(extra, r"^\s*\{\s*|\s*\}\s*$", "")
+    head = F.regexp_replace(known, r"\}$", "")
+    comma = F.when(head == "{", "").otherwise(",")
+    line = F.when(F.coalesce(more, F.lit("")) == "", known).otherwise(F.concat(head, comma, more, F.lit("}")))
+    df.select(line.alias("value")).write.text(path)
 
 
 def read_pages(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
@@ -62,6 +79,6 @@ def read_documents(spark: SparkSession, path: str, wanted: DataFrame | None = No
 
 
 def write_issues(issues: DataFrame, path: str) -> None:
-    """The issues list as CSV with a header; ordered, so in one file when it is small enough."""
+    """The issues list as CSV with a header; files in name order have the list's order."""
     flat = issues.select(*(clean(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in issues.dtypes))
     flat.write.option("header", True).option("escape", '"').csv(path)
