@@ -124,3 +124,23 @@ def sift(rows: DataFrame, name: str, wanted: DataFrame, key: str) -> DataFrame:
     rest."""
     (maybe,) = spare(rows, "maybe")
     return flagged(rows, name, wanted, key, maybe).where(F.col(maybe)).drop(maybe)
+
+
+def lacking(rows: DataFrame, name: str, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose column is not among ``wanted[key]``. Of rows only those that may be are shuffled."""
+    (maybe,) = spare(rows, "maybe")
+    marks = flagged(rows, name, wanted, key, maybe)
+    gone = wanted.select(F.col(key).alias(name)).distinct()
+    rest = marks.where(F.col(maybe)).join(gone.hint("merge"), name, "left_anti").select(*columns(rows))
+    return marks.where(~F.col(maybe)).select(*columns(rows)).union(rest)
+
+
+def attached(rows: DataFrame, name: str, wanted: DataFrame, key: str) -> DataFrame:
+    """rows with the other columns of ``wanted``, null where its key is not among them; ``wanted`` has
+    each key once, and names that rows lacks. Of rows only those that may have one are shuffled."""
+    maybe, other = spare(rows, "maybe", "other")
+    marks = flagged(rows, name, wanted, key, maybe)
+    more = [c for c in wanted.columns if c != key]
+    none = [F.lit(None).cast(wanted.schema[c].dataType).alias(c) for c in more]
+    rest = marks.where(F.col(maybe)).join(wanted.withColumnRenamed(key, other).hint("merge"), column(name) == F.col(other), "left")
+    return marks.where(~F.col(maybe)).select(*columns(rows), *none).union(rest.select(*columns(rows), *more))

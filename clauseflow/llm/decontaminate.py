@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_type, batches_of, column, kind_of, stored, table
+from .common import arrow_type, batches_of, column, kind_of, lacking, stored, table
 
 PER, LEAST, BLOCK = 12, 24, 1 << 22
 
@@ -165,8 +165,8 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", shortest: int = LEAST, **options) -> DataFrame:
     """The documents in which no item of ``shortest`` characters or more stands; rows without a key
     stay."""
-    leaks = matches(docs, items, key, text, shortest=shortest, **options).select(key).distinct()
-    return docs.join(leaks, key, "left_anti")
+    leaks = stored(matches(docs, items, key, text, shortest=shortest, **options).select(column(key).alias("key")).distinct(), "leaks")
+    return lacking(docs, key, leaks, "key")
 
 
 def op10_benchmark_decontamination(spark, sf_dir):

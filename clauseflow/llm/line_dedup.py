@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, released, sift, spare, stored, table, without
+from .common import attached, column, released, sift, spare, stored, table, without
 
 LEAST, GRID = 20, 128
 
@@ -169,8 +169,7 @@ def cut_lines(docs: DataFrame, removed: DataFrame, key: str = "doc_id", text: st
     """docs with the lines taken out of ``text``, all columns in their places; ``size`` and ``gone``
     name columns (bigint) for the number of lines and of removed ones, if they are wanted."""
     mark, numbers = spare(docs, "mark", "numbers")
-    marked = removed.select(F.col("key").alias(mark), F.col("removed").alias(numbers))
-    joined = docs.join(marked, column(key) == F.col(mark), "left")
+    joined = attached(docs, key, removed.select(F.col("key").alias(mark), F.col("removed").alias(numbers)), mark)
     lines = F.split(column(text), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(numbers))
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")

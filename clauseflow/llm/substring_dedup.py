@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, kind_of, released, stored, table, utf8
+from .common import attached, batches_of, kind_of, released, stored, table, utf8
 from .repeats import merged, repeated
 
 WINDOW, GRAM = 50, 16
@@ -143,7 +143,7 @@ def earlier_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
 def without_words(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, kept binary: the words left, joined by one space, n_words, n_removed) for every row."""
     kind = kind_of(docs, key)
-    rows = docs.select(F.col(key).alias("key"), utf8(text).alias("text")).join(spans, "key", "left")
+    rows = attached(docs.select(F.col(key).alias("key"), utf8(text).alias("text")), "key", spans, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, kind_of, released, stored, table, utf8
+from .common import attached, batches_of, kind_of, released, stored, table, utf8
 from .repeats import merged, repeated
 
 LENGTH, GRAM = 400, 64
@@ -95,7 +95,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 def without_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, kept binary, n_bytes, n_removed, n_spans) for every row of docs."""
     kind = kind_of(docs, key)
-    rows = docs.select(F.col(key).alias("key"), utf8(text).alias("text")).join(spans, "key", "left")
+    rows = attached(docs.select(F.col(key).alias("key"), utf8(text).alias("text")), "key", spans, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
