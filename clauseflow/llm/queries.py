@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op7_warc_bundles": warc.OP7_SQL,
+    "op9_suffix_array_dedup": suffix_dedup.OP9_SQL,
 }

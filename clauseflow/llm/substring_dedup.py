@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import attached, batches_of, kind_of, released, stored, table, utf8
 from .repeats import merged, repeated
 
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM, SHARD_WORDS = 50, 16, 1 << 17
 
 
 class _Known(dict):
@@ -140,6 +140,68 @@ def earlier_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
     return spans
 
 
+def reference_spans(docs: DataFrame, reference: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(key, spans) as ``earlier_spans`` has them, for windows that stand in a table of references
+    with the same columns, under a lesser key.
+
+    The references are read in shards of ``shard_words`` words, in order of their keys' hashes; a
+    longer reference is cut into parts that overlap by a window. Each shard becomes one suffix
+    automaton, which is broadcast, and all documents are streamed through it for matching
+    statistics; its spans are stored before the next shard is read. So driver and tasks hold one
+    shard at a time. The work is documents times shards: this is for references that are few beside
+    the documents. ``earlier_spans`` routes shards instead, where the corpus is its own reference.
+    """
+    spark, kind = docs.sparkSession, kind_of(docs, key)
+    rows = docs.select(F.col(key).alias("key"), utf8(text).alias("text")).where("key IS NOT NULL")
+    held: list[str] = []
+    found: list[DataFrame] = []
+    for shard in _shards(reference.select(F.col(key).alias("key"), utf8(text).alias("text")).where("key IS NOT NULL"), window, shard_words):
+        automaton = Automaton()
+        for least, words in sorted(shard, key=lambda r: r[0]):
+            automaton.add(words, least)
+        shared = spark.sparkContext.broadcast(automaton)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for batch in batches:
+                at, los, his = [], [], []
+                for i, (k, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                    ends = [end for end, (size, least) in enumerate(known.stream(raw.split(), window), 1) if size == window and least < k]
+                    for lo, hi in merged([(end - window, end) for end in ends]):
+                        at.append(i)
+                        los.append(lo)
+                        his.append(hi)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(los, pa.int32()), pa.array(his, pa.int32())], names=["key", "lo", "hi"])
+
+        batches_of(spark)
+        found.append(stored(rows.mapInArrow(run, f"key {kind}, lo int, hi int"), "shard", held))
+        shared.destroy()
+    every = spark.createDataFrame([], f"key {kind}, lo int, hi int")
+    for part in found:
+        every = every.union(part)
+    spans = stored(every.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    released(spark, held)
+    return spans
+
+
+def _shards(reference: DataFrame, window: int, most: int) -> Iterator[list[tuple[object, list[bytes]]]]:
+    """References in shards of about ``most`` words; rows come to the driver shard by shard."""
+    parts = reference.select("key", F.size(F.split(F.decode("text", "UTF-8"), "[ \t\n\x0b\f\r]+")).alias("n"), "text")
+    total = parts.agg(F.sum("n")).first()[0] or 0
+    count = -(-total // most)
+    for i in range(count):
+        shard: list[tuple[object, list[bytes]]] = []
+        for key, _, raw in parts.where(F.pmod(F.xxhash64("key"), F.lit(count)) == i).toLocalIterator():
+            words = bytes(raw).split()
+            for at in range(0, max(1, len(words) - window + 1), most):
+                shard.append((key, words[at : at + most + window - 1]))
+                if sum(len(w) for _, w in shard) >= 2 * most:
+                    yield shard
+                    shard = []
+        if shard:
+            yield shard
+
+
 def without_words(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, kept binary: the words left, joined by one space, n_words, n_removed) for every row."""
     kind = kind_of(docs, key)
@@ -166,3 +228,23 @@ def op4_substring_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     cut = without_words(docs, earlier_spans(docs))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# Windows by their digests; runs of covered words from windows that touch.
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+windows AS (
+  SELECT doc_id, j, md5(array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING), ' ')) AS h,
+    count(*) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS n FROM words
+), whole AS (SELECT doc_id, j, h FROM windows WHERE n = {WINDOW}),
+firsts AS (SELECT h, min(doc_id) AS least FROM whole GROUP BY h),
+hits AS (SELECT doc_id, j, j - lag(j) OVER (PARTITION BY doc_id ORDER BY j) AS gap FROM whole JOIN firsts USING (h) WHERE least < doc_id),
+runs AS (
+  SELECT doc_id, min(j) AS lo, max(j) + {WINDOW} AS hi FROM (SELECT *, count(*) FILTER (gap IS NULL OR gap > {WINDOW}) OVER (PARTITION BY doc_id ORDER BY j) AS run FROM hits) GROUP BY doc_id, run
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept FROM words w WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = w.doc_id AND w.j >= r.lo AND w.j < r.hi) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce((SELECT sum(hi - lo) FROM runs r WHERE r.doc_id = d.doc_id), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""

@@ -116,3 +116,23 @@ def op9_suffix_array_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     cut = without_spans(docs, repeated_spans(docs))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# Bytes as hex digits, strings by their digests; long texts are cut into parts that overlap by a string.
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), s AS (SELECT doc_id, x, length(x) // 2 AS n FROM d),
+parts AS (SELECT doc_id, n, unnest(range(0, greatest(n - {LENGTH - 1}, 0), 2048)) AS p, x FROM s),
+cut AS (SELECT doc_id, p, least(2048, n - {LENGTH - 1} - p) AS m, substr(x, 2 * p + 1, 2 * (2048 + {LENGTH - 1})) AS part FROM parts),
+strings AS (SELECT doc_id, p + k AS i, md5(substr(part, 2 * k + 1, {2 * LENGTH})) AS h FROM (SELECT doc_id, p, part, unnest(range(0, m)) AS k FROM cut)),
+again AS (SELECT h FROM strings GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM strings SEMI JOIN again USING (h)),
+runs AS (
+  SELECT doc_id, min(i) AS lo, max(i) + {LENGTH} AS hi FROM (SELECT *, count(*) FILTER (gap IS NULL OR gap > {LENGTH}) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits) GROUP BY doc_id, run
+), edges AS (
+  SELECT doc_id, hi AS a, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS b FROM runs UNION ALL SELECT doc_id, 0, min(lo) FROM runs GROUP BY doc_id
+), kept AS (
+  SELECT s.doc_id, string_agg(substr(x, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS kept FROM edges JOIN s ON edges.doc_id = s.doc_id GROUP BY s.doc_id
+), sums AS (SELECT doc_id, sum(hi - lo) AS gone, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT s.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM s LEFT JOIN sums ON s.doc_id = sums.doc_id LEFT JOIN kept ON s.doc_id = kept.doc_id
+"""

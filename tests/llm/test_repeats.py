@@ -123,3 +123,13 @@ def test_automaton_streams_matching_statistics():
     assert [n for n, _ in machine.stream(list("xabdz"), 9)] == [0, 1, 2, 3, 1]
     assert [least for _, least in machine.stream(list("zabd"), 9)] == [2, 2, 2, 2]
     assert [least for _, least in machine.stream(list("zabd"), 2)] == [2, 2, 1, 1]
+
+
+@pytest.mark.parametrize("shard_words", [60, 1 << 17])
+def test_broadcast_automata_equal_brute_force(docs, shard_words):
+    texts = corpus()[:22]
+    table = docs(texts)
+    spans = substring_dedup.reference_spans(table, table, window=12, shard_words=shard_words)
+    rows = substring_dedup.without_words(table, spans).collect()
+    got = [(r.n_words, r.n_removed, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in sorted(rows, key=lambda r: r.doc_id)]
+    assert got == brute_words(texts, 12)
