@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import periods, terms, text
 from ..operators import documents, evaluation, extraction, gate, portfolio, reports, screening, severity
-from ..schemas import CLAUSE_TERMS, CLAUSE_TYPES, FINDINGS, REQUIRED
-from ..sources import gold, scratch, stages
+from ..schemas import CLAUSE_TERMS, CLAUSE_TYPES, FINDINGS, REQUIRED, TRIGGERS
+from ..sources import gold, scratch, stages, vocabulary
 from ..sources.vocabulary import PATTERNS
 from . import review
 from .fixture import REASON, contract_findings, contract_pages, sql_findings, sql_pages
@@ -322,6 +322,30 @@ def candidates_by_clause(spark, sf_dir):
     return screening.candidates_by_clause(found, ("mfn", "exclusivity", "governing_law"))
 
 
+def _sql_pattern_counts() -> str:
+    rows = []
+    for clause, lines in PATTERNS.items():
+        for i, p in enumerate(lines):
+            quoted = p.replace("'", "''")
+            rows.append(f"SELECT '{clause}' AS clause_type, {CLAUSE_TYPES.index(clause)} AS clause_ord, {i} AS pattern_ord, count(*) FILTER (regexp_matches(page_text, '(?i){quoted}')) AS chunks FROM p")
+    return f"WITH p AS ({sql_pages()}) " + " UNION ALL ".join(rows)
+
+
+@query("pattern_counts", _sql_pattern_counts())
+def pattern_counts(spark, sf_dir):
+    """Chunks that each pattern of the vocabulary matches; the vocabulary goes through its table."""
+    path = scratch.fresh_path(spark, "vocabulary")
+    stages.write_stage(vocabulary.vocabulary(spark), path)
+    table = spark.read.schema(TRIGGERS).json(path)
+    patterns = vocabulary.patterns_of(table)
+    found = _chunks(spark, sf_dir).select(F.posexplode(screening.first_matches(F.col("text"), patterns)).alias("at", "match"))
+    counts = found.groupBy("at").agg(F.count("match").alias("chunks"))
+    starts = {c: sum(len(v) for v in list(patterns.values())[:i]) for i, c in enumerate(patterns)}
+    first = F.create_map(*(F.lit(x) for pair in starts.items() for x in pair))
+    placed = table.withColumn("at", F.try_element_at(first, F.col("clause_type")) + F.col("pattern_ord"))
+    return placed.join(F.broadcast(counts), "at", "left").select("clause_type", "clause_ord", "pattern_ord", F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks"))
+
+
 _PROSE = {"mfn": (r"\bthe\s+that\b", r"\bthe\s+is\b"), "exclusivity": (r"\bqui\s+.{0,20}de\b", r"\bund\s+der\b")}
 
 
@@ -581,6 +605,21 @@ def unreadable_findings(spark, sf_dir):
     return report.crossJoin(broken).select("total", "validated", "dropped", "unreadable", "read_back")
 
 
+@query("require_gate", f"{_F}, r AS (SELECT count({REASON})::DOUBLE / count(*) AS rate, count(*) > count({REASON}) AS good FROM f) SELECT v.limit_, coalesce(good AND rate <= v.limit_, false) AS passes FROM r, (VALUES (0.01::DOUBLE), (0.2::DOUBLE), (0.5::DOUBLE)) v(limit_)")
+def require_gate(spark, sf_dir):
+    """Whether the gate's drop rate is allowed under three limits."""
+    path = scratch.fresh_path(spark, "report")
+    gate.validation_report(_checked(spark, sf_dir)).write.parquet(path)
+    rows = []
+    for limit in (0.01, 0.2, 0.5):
+        try:
+            gate.require_gate(spark.read.parquet(path), limit)
+            rows.append((limit, True))
+        except RuntimeError:
+            rows.append((limit, False))
+    return spark.createDataFrame(rows, "limit_ double, passes boolean")
+
+
 @query("drops_by_reason", f"{_F} SELECT {REASON} AS reason, count(*) AS n FROM f WHERE {REASON} IS NOT NULL GROUP BY 1")
 def drops_by_reason(spark, sf_dir):
     return gate.drops_by_reason(_checked(spark, sf_dir))
