@@ -736,6 +736,11 @@ def drop_reason_table(spark, sf_dir):
     return reports.drop_reason_table(_checked(spark, sf_dir))
 
 
+@query("validation_note", f"{_F}, n AS (SELECT {REASON} AS reason, count(*) AS n FROM f WHERE {REASON} IS NOT NULL GROUP BY 1) SELECT count(*) AS checked, count(*) - count({REASON}) AS verified, count({REASON}) AS dropped, round(100.0::DOUBLE * count({REASON}) / count(*), 1) AS dropped_pct, (SELECT string_agg(reason || ': ' || CAST(n AS VARCHAR), '; ' ORDER BY n DESC, reason) FROM n) AS reasons FROM f")
+def validation_note(spark, sf_dir):
+    return reports.validation_note(_checked(spark, sf_dir))
+
+
 # --- evaluation -----------------------------------------------------------------------------------
 
 # Gold spans are the clauses' own, moved by 0, 10 or 60 characters; one in twenty is missing. One in four stands
