@@ -4,8 +4,8 @@ Texts are split into words as the tokenizer's pre-tokenizer does; each distinct
 once, by the tokenizers library, and its ids are laid out at the word's positions. Decoding joins
 ids to pieces, a table as large as the vocabulary (so its size is bounded), by an Arrow gather.
 
-``encode`` keeps the distinct-word table of each task: it fills as the task's batches come, and is
-emptied when it holds ``KNOWN_WORDS``. Nothing is shuffled. ``encode_joined`` makes one table of the
+``encode`` keeps a distinct-word table in each Python worker: it fills as batches come, task after
+task, and is emptied when it holds ``KNOWN_WORDS``. Nothing is shuffled. ``encode_joined`` makes one table of the
 whole corpus instead: documents are dealt to groups of bounded size, each group's distinct words
 are joined to the corpus's distinct words, which are encoded once, and the ids are laid out group
 by group. It moves every text once and every word once per group; the README has its figures.
@@ -22,6 +22,7 @@ import json
 import os
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, kind_of, stored, table
 
-GROUP_CHARS, KNOWN_WORDS, BATCH = 1 << 23, 1 << 18, 500
+GROUP_CHARS, KNOWN_WORDS, BATCH = 1 << 23, 1 << 17, 100
 
 #: Fixed: the pattern by which byte-level BPE of this kind splits a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -87,8 +88,10 @@ def splitter(special: list[str]):
     return split
 
 
+@lru_cache(maxsize=1)
 def loaded(path: str):
-    """The library's tokenizer without truncation and padding, and without threads of its own."""
+    """The library's tokenizer without truncation and padding, and without threads of its own; one a
+    process."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -98,6 +101,12 @@ def loaded(path: str):
     return tokenizer
 
 
+@lru_cache(maxsize=1)
+def known_words(path: str) -> dict[str, bytes]:
+    """The words that this process has encoded, with their ids."""
+    return {}
+
+
 def _encode_words(words: DataFrame, path: str) -> DataFrame:
     """words(word), distinct -> (word, ids)."""
 
@@ -118,7 +127,7 @@ def _encoder(path: str):
     special = list(Vocabulary(path).special)
 
     def run(batches: Batches) -> Batches:
-        tokenizer, split, known = loaded(path), splitter(special), {}
+        tokenizer, split, known = loaded(path), splitter(special), known_words(path)
 
         def learn(words: list[str]) -> None:
             # few at a time: what the library returns for a word is far larger than its ids, which

@@ -36,8 +36,8 @@ def released(spark: SparkSession, held: list[str]) -> None:
         remove(spark, held.pop())
 
 
-def batches_of(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows in an Arrow batch: whole texts go to Python, so the default of 10,000 is too many."""
+def batches_of(spark: SparkSession, rows: int = 256) -> None:
+    """Rows in an Arrow batch: whole texts go to Python, and some are very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
