@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import fresh_path
-from .common import arrow_type, batches_of, column, columns, flagged, kind_of, spare, table, without
+from .common import arrow_type, batches_of, column, columns, flagged, kind_of, released, spare, stored, table, without
 
 FRAME_BYTES, BUNDLE_BYTES, LEAST = 1 << 18, 1 << 22, 0
 _DATE = "2026-01-01T00:00:00Z"
@@ -110,14 +110,16 @@ def read_frame(bundle: bytes, place: tuple[int, int, int]) -> bytes:
     return zstandard.ZstdDecompressor().decompress(bundle[at : at + coded], max_output_size=size)
 
 
-def marked(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = LEAST, origin: str = "origin") -> DataFrame:
-    """pages with a key, and ``origin``: the key of the record that a page revisits, null for responses."""
+def marked(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = LEAST, origin: str = "origin", held: list[str] | None = None) -> DataFrame:
+    """pages with a key, and ``origin``: the key of the record that a page revisits, null for responses.
+
+    Digests that repeat are stored first; ``held`` gets that table."""
     kept = without(pages, origin)
     content, sha, size, last, n, again = spare(kept, "content", "sha", "size", "last", "n", "again")
     body = F.coalesce(column(payload), F.lit("")).cast("binary")
     rows = kept.where(column(key).isNotNull()).withColumn(sha, F.sha1(body)).withColumn(size, F.octet_length(body).cast("bigint"))
     groups = rows.where(F.col(size) >= least).groupBy(sha, size).agg(F.max(column(key)).alias(last), F.count("*").alias(n))
-    groups = groups.where(F.col(n) > 1).drop(n)
+    groups = stored(groups.where(F.col(n) > 1).drop(n), "repeats", held)
     marks = flagged(rows, sha, groups, sha, again)
     own = columns(kept)
     alone = marks.where(~F.col(again)).select(*own, F.lit(None).cast(kind_of(kept, key)).alias(origin))
@@ -137,7 +139,8 @@ def write_bundles(pages: DataFrame, path: str, key: str = "page_id", url: str =
     """
     kind, schema = kind_of(pages, key), _bundle(arrow_type(pages, key))
     plain = pages.select(column(key).alias("key"), column(url).alias("url"), column(payload).alias("payload"))
-    rows = marked(plain, "key", "payload", least).select("key", "url", F.coalesce("payload", F.lit("")).cast("binary").alias("payload"), "origin")
+    tables: list[str] = []
+    rows = marked(plain, "key", "payload", least, held=tables).select("key", "url", F.coalesce("payload", F.lit("")).cast("binary").alias("payload"), "origin")
     batches_of(pages.sparkSession, 200)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,6 +171,7 @@ def write_bundles(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
     made = rows.mapInArrow(run, f"bundle string, content binary, entries array<struct<key:{kind},record_id:string,frame:int,offset:int>>")
     made.write.parquet(f"{path}/all")
+    released(pages.sparkSession, tables)
 
 
 def index(spark, path: str) -> DataFrame:
