@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, conversation_repair, decontaminate, gif, id_files, license_scan, line_dedup, quality, simhash, substring_dedup, suffix_dedup, warc
+from . import alignment, bpe, conversation_repair, decontaminate, gif, id_files, license_scan, line_dedup, quality, simhash, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
     "op1_gif_media": gif.op1_gif_media,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     "op11_id_files": id_files.op11_id_files,
+    "op12_token_alignment": alignment.op12_token_alignment,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
