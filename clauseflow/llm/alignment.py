@@ -37,7 +37,7 @@ from .bpe import PATTERN, Vocabulary
 from .common import arrow_type, column, kind_of, released, stored, table
 from .words import Ragged, Rows, distinct, gathered, points, slices
 
-SALTS, KNOWN_CHUNKS, RUN = 16, 1 << 19, 1024
+SALTS, KNOWN_CHUNKS, RUN = 16, 1 << 18, 1024
 #: Ids of A stand in the upper half of a pair.
 _SHIFT = 32
 
