@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import locate, pinned
 from ..schemas import CLAUSE_TYPES, MIN_IOU
 from ..sources.gold import normalize_doc_key
 from ..sources.scratch import fresh_path
+from .placement import place_quotes
 
 
 def keyed_findings(findings: DataFrame) -> DataFrame:
@@ -37,14 +37,14 @@ def place_findings(findings: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(finding_id, doc_key, clause_type, para_ix, start, end): the first paragraph that holds the
     quote, exactly or up to white space; null places where none does.
 
-    Contexts stop at the join: what is aggregated are places.
+    Paragraphs that share no head with a quote of their document are not searched for it, and contexts
+    stop at the join: what is aggregated are places.
     """
     keyed = keyed_findings(findings).select("finding_id", "doc_key", "clause_type", "quote")
-    pairs = keyed.join(paragraphs.select("doc_key", "para_ix", "context"), "doc_key")
-    # computed once: the filter above is not pushed through the generator
-    held = pinned(pairs, "place", locate(F.col("context"), F.coalesce("quote", F.lit("")))).select("finding_id", "doc_key", "para_ix", "place").where("place IS NOT NULL")
-    first = held.groupBy("finding_id", "doc_key").agg(F.min(F.struct("para_ix", "place.start", "place.end")).alias("p"))
-    return keyed.drop("quote").join(first, ["finding_id", "doc_key"], "left").select("finding_id", "doc_key", "clause_type", F.col("p.para_ix").alias("para_ix"), F.col("p.start").alias("start"), F.col("p.end").alias("end"))
+    texts = paragraphs.select("doc_key", F.col("para_ix").alias("text_id"), F.col("context").alias("text"))
+    held = place_quotes(keyed.withColumnRenamed("finding_id", "quote_id"), texts, within="doc_key")
+    first = held.groupBy(F.col("quote_id").alias("finding_id"), "doc_key").agg(F.min(F.struct("text_id", "start", "end")).alias("p"))
+    return keyed.drop("quote").join(first, ["finding_id", "doc_key"], "left").select("finding_id", "doc_key", "clause_type", F.col("p.text_id").alias("para_ix"), F.col("p.start").alias("start"), F.col("p.end").alias("end"))
 
 
 def span_iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -136,11 +136,18 @@ def eval_counters(findings: DataFrame, evaluated: DataFrame, paragraphs: DataFra
 def evaluate(findings: DataFrame, paragraphs: DataFrame, gold: DataFrame, ingested: DataFrame | None = None, min_iou: float = MIN_IOU) -> DataFrame:
     """The whole comparison: the prf table over the evaluated documents.
 
-    Places are written to the shared folder, as pairs and counts both read them."""
-    documents = evaluated_documents(findings, paragraphs, ingested)
+    Documents, their paragraphs and places are written to the shared folder, as several steps read
+    them."""
+    spark = findings.sparkSession
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    documents = stored(evaluated_documents(findings, paragraphs, ingested), "evaluated")
     ours = keyed_findings(findings).join(documents, "doc_key", "left_semi").drop("doc_key")
-    theirs = gold.join(documents, "doc_key", "left_semi")
-    path = fresh_path(findings.sparkSession, "placed")
-    place_findings(ours, paragraphs).write.parquet(path)
-    placed = findings.sparkSession.read.parquet(path)
+    theirs = stored(gold.join(documents, "doc_key", "left_semi"), "gold")
+    inside = stored(paragraphs.select("doc_key", "para_ix", "context").join(documents, "doc_key", "left_semi"), "paragraphs")
+    placed = stored(place_findings(ours, inside), "placed")
     return prf(placed, theirs, greedy_match(iou_pairs(placed, theirs, min_iou)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.terms import is_true, stated, term
@@ -97,7 +97,24 @@ def require_scored(scored: DataFrame, findings: DataFrame) -> None:
 
 def review_order(scored: DataFrame) -> DataFrame:
     """Worst first; within a severity, sure findings first, then by place."""
-    return scored.orderBy("severity_rank", "low_confidence", "doc_id", "page", "char_start", "finding_id")
+    return scored.orderBy(*ORDER)
+
+
+#: The review list's order: worst first; within a severity, sure findings first, then by place.
+ORDER = ("severity_rank", "low_confidence", "doc_id", "page", "char_start", "finding_id")
+
+
+def review_page(scored: DataFrame, rows: int, behind: Row | None = None) -> DataFrame:
+    """The next ``rows`` of ``review_order`` behind a row (none: from the start), without sorting the
+    rest: each task keeps its first ``rows``. Nulls come first, as in that order."""
+    later = F.lit(True)
+    if behind is not None:
+        later = F.lit(False)
+        for name in reversed(ORDER):
+            value, kind = behind[name], scored.schema[name].dataType
+            over = F.col(name).isNotNull() if value is None else F.col(name) > F.lit(value).cast(kind)
+            later = F.coalesce(over, F.lit(False)) | (F.col(name).eqNullSafe(F.lit(value).cast(kind)) & later)
+    return scored.where(later).orderBy(*ORDER).limit(rows)
 
 
 def severity_counts(scored: DataFrame) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import periods, terms, text
-from ..operators import documents, evaluation, extraction, gate, portfolio, reports, screening, severity
+from ..operators import documents, evaluation, extraction, gate, placement, portfolio, reports, screening, severity
 from ..schemas import CLAUSE_TERMS, CLAUSE_TYPES, FINDINGS, REQUIRED, TRIGGERS
-from ..sources import gold, scratch, stages, vocabulary
+from ..sources import gold, records, scratch, stages, vocabulary
 from ..sources.vocabulary import PATTERNS
 from . import review
 from .fixture import REASON, contract_findings, contract_pages, sql_findings, sql_pages
@@ -35,6 +35,12 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _stored(df, name):
+    path = scratch.fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _talks(spark, sf_dir):
     """Conversations as pages: a document is a conversation, a page a turn."""
     rows = _table(spark, sf_dir, "conversations")
@@ -310,16 +316,22 @@ def select_clauses(spark, sf_dir):
     return found.select("chunk_id", F.array_join("clause_hints", " | ").alias("hints"))
 
 
-@query("prefilter_report", f"{_sql_screened(_SUBSET)}, n AS (SELECT (SELECT count(*) FROM p) AS chunks, (SELECT count(*) FROM c) AS candidates) SELECT chunks, candidates, round(100.0::DOUBLE * candidates / chunks, 4) AS kept_pct, round(100.0::DOUBLE - 100.0::DOUBLE * candidates / chunks, 4) AS dropped_pct FROM n")
+def _padded_chunks(spark, sf_dir):
+    """Contract pages and four times as many chunks in which nothing stands, as in real data rooms."""
+    rows = _chunks(spark, sf_dir)
+    plain = rows.withColumn("text", F.substring_index("text", "\n\n", -1)).crossJoin(spark.range(4).select(F.col("id").alias("copy")))
+    return rows.unionByName(plain.withColumn("chunk_id", F.concat_ws("-", "chunk_id", "copy")).drop("copy"))
+
+
+@query("prefilter_report", f"{_sql_screened(PATTERNS)}, n AS (SELECT (SELECT 5 * count(*) FROM p) AS chunks, (SELECT count(*) FROM c) AS candidates) SELECT chunks, candidates, round(100.0::DOUBLE * candidates / chunks, 4) AS kept_pct, round(100.0::DOUBLE - 100.0::DOUBLE * candidates / chunks, 4) AS dropped_pct FROM n")
 def prefilter_report(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
-    return screening.prefilter_report(chunks, screening.select_candidates(chunks, clauses=("governing_law", "mfn")))
+    chunks = _padded_chunks(spark, sf_dir)
+    return screening.prefilter_report(chunks, screening.select_candidates(chunks))
 
 
-@query("candidates_by_clause", f"{_sql_screened(_SUBSET)} SELECT h AS clause_type, count(*) AS candidates FROM (SELECT unnest(hints) AS h FROM c) GROUP BY h UNION ALL SELECT 'exclusivity', 0")
+@query("candidates_by_clause", f"{_sql_screened(PATTERNS)} SELECT e AS clause_type, count(h) AS candidates FROM (SELECT unnest({list(CLAUSE_TYPES)}) AS e) LEFT JOIN (SELECT unnest(hints) AS h FROM c) ON e = h GROUP BY e")
 def candidates_by_clause(spark, sf_dir):
-    found = screening.select_candidates(_chunks(spark, sf_dir), clauses=("governing_law", "mfn"))
-    return screening.candidates_by_clause(found, ("mfn", "exclusivity", "governing_law"))
+    return screening.candidates_by_clause(screening.select_candidates(_padded_chunks(spark, sf_dir)))
 
 
 def _sql_pattern_counts() -> str:
@@ -469,17 +481,31 @@ def complete_replies(spark, sf_dir):
     return extraction.complete(prompts, call, concurrency=8, retries=1, wait=0.0)
 
 
-@query("batch_candidates", f"WITH p AS ({sql_pages()}) SELECT 'cand-' || substr(sha1('chunk-' || CAST(k AS VARCHAR)), 1, 16) AS candidate_id FROM p WHERE k % 3 <> 0")
+_CAND = "'cand-' || substr(sha1('chunk-' || CAST(k AS VARCHAR)), 1, 16)"
+
+
+@query("batch_candidates", f"WITH p AS ({sql_pages()}) SELECT {_CAND} AS candidate_id FROM p WHERE k % 3 <> 0 ORDER BY doc_id, candidate_id LIMIT 500")
 def batch_candidates(spark, sf_dir):
-    rows = _extraction_candidates(spark, sf_dir)
-    return extraction.batch_candidates(rows, rows.where("k % 3 = 0").select("candidate_id")).select("candidate_id")
+    rows = _stored(_extraction_candidates(spark, sf_dir), "candidates")
+    return extraction.batch_candidates(rows, rows.where("k % 3 = 0").select("candidate_id"), limit=500).select("candidate_id")
+
+
+@query("resumed_sweep", f"WITH p AS ({sql_pages()}), c AS (SELECT {_CAND} AS candidate_id, doc_id FROM p) SELECT candidate_id, CASE WHEN row_number() OVER (ORDER BY doc_id, candidate_id) <= 1000 THEN 'first' ELSE 'second' END AS run FROM c")
+def resumed_sweep(spark, sf_dir):
+    """A sweep over a thousand candidates, then one over all with the same ledger: which run has called
+    the model for which candidate."""
+    candidates = _stored(_extraction_candidates(spark, sf_dir), "candidates")
+    ledger = scratch.fresh_path(spark, "ledger")
+    some = extraction.batch_candidates(candidates, limit=1000)
+    extraction.sweep(extraction.render_prompt(some), lambda prompt: '{"findings": [], "run": "first"}', ledger, batch=400)
+    done = extraction.sweep(extraction.render_prompt(candidates), lambda prompt: '{"findings": [], "run": "second"}', ledger)
+    return done.select("candidate_id", F.get_json_object("reply", "$.run").alias("run"))
 
 
 # Quotes are the passages, every third with other white space in it, and parts of them whose heads overlap.
 _QUOTES = """SELECT item_id * 3 AS quote_id, CASE WHEN item_id % 3 = 0 THEN replace(text, ' ', ' ' || chr(10) || ' ') ELSE text END AS quote FROM {benchmark} WHERE text IS NOT NULL
   UNION ALL SELECT item_id * 3 + 1, substr(text, 7, 60) FROM {benchmark} WHERE text IS NOT NULL
   UNION ALL SELECT item_id * 3 + 2, left(text, 12) FROM {benchmark} WHERE text IS NOT NULL"""
-_SOLID = r"[\s\x1c-\x1f]+"
 
 
 @query(
@@ -489,28 +515,10 @@ _SOLID = r"[\s\x1c-\x1f]+"
     SELECT quote_id, doc_id, CAST(strpos(text, found) - 1 AS INT) AS start, CAST(strpos(text, found) - 1 + length(found) AS INT) AS "end" FROM m WHERE found <> ''""",
 )
 def locate_quotes(spark, sf_dir):
-    """Benchmark passages as quotes in whole documents.
-
-    Without white space, a document that holds a quote holds the quote's first 24 characters, or as
-    many as it has. Every such start in a document is looked up among the quotes' own by hash, so
-    starts that overlap all count; then the quote is located in the text as it is.
-    """
+    """Benchmark passages as quotes in whole documents."""
     quotes = spark.sql(_QUOTES, benchmark=_table(spark, sf_dir, "benchmark"))
-    solid = F.regexp_replace("quote", f"(?U){_SOLID}", "")
-    quotes = quotes.withColumn("size", F.least(F.lit(24), F.char_length(solid))).withColumn("head", F.xxhash64(F.substring(solid, 1, 24))).where("size > 0")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL")
-    # characters are cut out of parts of 256, as finding one in a long text means walking there
-    bare = docs.select("doc_id", F.regexp_replace("text", f"(?U){_SOLID}", "").alias("bare"))
-    ahead = F.regexp_extract_all("bare", F.lit("(?s).{1,256}"), F.lit(0))
-    parts = text.pinned(bare, "blocks", ahead).select("doc_id", F.explode(F.zip_with("blocks", F.slice("blocks", 2, 1 << 30), lambda x, y: F.concat(x, F.coalesce(F.substring(y, 1, 23), F.lit(""))))).alias("part"))
-    sizes = sorted(r[0] for r in quotes.select("size").distinct().collect())  # 24 at most
-    starts = [F.expr(f"transform(sequence(1, 256), i -> substring(part, i, {n}))") for n in sizes]
-    starts = F.concat(*starts) if starts else F.array().cast("array<string>")
-    heads = parts.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda h: F.xxhash64(h)))).alias("head"))
-    met = heads.join(quotes.select("head").distinct(), "head", "left_semi").distinct().join(quotes.select("head", "quote_id", "quote"), "head")
-    held = met.join(docs, "doc_id").select("quote_id", "doc_id", "quote", "text").distinct()
-    placed = text.pinned(held, "place", text.locate(F.col("text"), F.col("quote"))).where("place IS NOT NULL")
-    return placed.select("quote_id", "doc_id", "place.start", "place.end")
+    texts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return placement.place_quotes(quotes, texts).withColumnRenamed("text_id", "doc_id")
 
 
 # --- the whole chain ------------------------------------------------------------------------------
@@ -588,21 +596,75 @@ def validation_report(spark, sf_dir):
     return gate.validation_report(_checked(spark, sf_dir))
 
 
-@query("unreadable_findings", f"{_F} SELECT count(*) AS total, count(*) - count({REASON}) FILTER (k % 9 <> 0) - count(*) FILTER (k % 9 = 0) AS validated, count({REASON}) FILTER (k % 9 <> 0) + count(*) FILTER (k % 9 = 0) AS dropped, count(*) FILTER (k % 9 = 0) AS unreadable, sum(CASE WHEN k % 9 = 0 THEN k END)::BIGINT AS read_back FROM f")
-def unreadable_findings(spark, sf_dir):
-    """Findings as lines, one in nine of them broken: those count as dropped, and what they held is kept."""
+_READ = f"""WITH f AS ({sql_findings()}), g AS (SELECT *, CASE WHEN k % 18 = 0 THEN 'unreadable_finding:finding missing field(s): page, quote'
+  WHEN k % 9 = 0 THEN 'unreadable_finding:finding.page is no integer' ELSE {REASON} END AS why FROM f)"""
+
+
+def _records(spark, sf_dir):
+    """Findings as JSON lines: of two in nine, one lacks fields and one has a page that is no number;
+    others give their numbers as texts."""
     path = scratch.fresh_path(spark, "lines")
     names = [f.name for f in spark.createDataFrame([], FINDINGS).schema]
-    rows = contract_findings(spark, sf_dir)
-    whole = F.to_json(F.struct(*names))
-    rows.select(F.when(F.col("k") % 9 == 0, F.concat(F.lit("{broken "), F.col("k").cast("string"))).otherwise(whole).alias("value")).write.text(path)
-    parsed = scratch.fresh_path(spark, "parsed")
-    stages.read_stage(spark, path, FINDINGS, corrupt="corrupt").write.parquet(parsed)
-    read = spark.read.parquet(parsed)
-    broken = gate.unreadable(read, "corrupt").agg(F.count("*").alias("unreadable"), F.sum(F.regexp_extract("finding", r"(\d+)", 1).cast("bigint")).alias("read_back"))
-    checked = gate.check_finding(read.where("corrupt IS NULL").drop("corrupt"), _contracts(spark, sf_dir))
-    report = gate.validation_report(checked, unreadable_rows=broken.first()["unreadable"])
-    return report.crossJoin(broken).select("total", "validated", "dropped", "unreadable", "read_back")
+    k = F.col("k")
+    short = F.struct(*(n for n in names if n not in ("page", "quote")))
+    worded = F.struct(*(F.lit("the first").alias(n) if n == "page" else n for n in names))
+    spoken = F.struct(*(F.col(n).cast("string").alias(n) if n in ("page", "char_start", "confidence") else n for n in names))
+    line = F.when(k % 18 == 0, F.to_json(short)).when(k % 9 == 0, F.to_json(worded)).when(k % 9 == 1, F.to_json(spoken)).otherwise(F.to_json(F.struct(*names)))
+    contract_findings(spark, sf_dir).select(line.alias("value")).write.text(path)
+    return records.read_records(spark, path, FINDINGS, REQUIRED["findings"], "finding")
+
+
+def _checked_records(spark, sf_dir):
+    docs = _contracts(spark, sf_dir).withColumn("pages", F.when(~F.col("doc_id").endswith("7"), F.col("pages")))
+    return gate.check_records(_records(spark, sf_dir), docs)
+
+
+@query("read_records", f"{_READ} SELECT unreadable, count(*) AS n, sum(page)::BIGINT AS pages, sum(char_start)::BIGINT AS starts, round(sum(confidence), 1) AS confidence, count(terms) AS terms, count(line) AS lines FROM (SELECT CASE WHEN k % 9 = 0 THEN substr(why, 20) END AS unreadable, CASE WHEN k % 9 <> 0 THEN page END AS page, CASE WHEN k % 9 <> 0 THEN char_start END AS char_start, CASE WHEN k % 9 <> 0 THEN confidence END AS confidence, CASE WHEN k % 9 <> 0 THEN 1 END AS terms, CASE WHEN k % 9 = 0 THEN 1 END AS line FROM g) GROUP BY 1")
+def read_records(spark, sf_dir):
+    sums = [F.sum("page").alias("pages"), F.sum("char_start").alias("starts"), F.round(F.sum("confidence"), 1).alias("confidence"), F.count("terms").alias("terms"), F.count("line").alias("lines")]
+    return _records(spark, sf_dir).groupBy("unreadable").agg(F.count("*").alias("n"), *sums)
+
+
+@query("unreadable_findings", f"{_READ} SELECT why AS validation_error, count(*) AS n, sum(CASE WHEN k % 9 = 0 THEN k ELSE 0 END)::BIGINT AS read_back FROM g WHERE why IS NOT NULL GROUP BY 1")
+def unreadable_findings(spark, sf_dir):
+    """The gate's failures by their whole reason, and what the lines of unreadable ones still hold."""
+    failures = gate.split_validated(_checked_records(spark, sf_dir))[1]
+    kept = F.coalesce(F.regexp_extract("record", '"cand-([0-9]+)"', 1).try_cast("bigint"), F.lit(0))
+    return failures.groupBy("validation_error").agg(F.count("*").alias("n"), F.sum(kept).alias("read_back"))
+
+
+@query(
+    "gate_reports",
+    f"""{_READ}, h AS (SELECT *, split_part(why, ':', 1) AS reason, CASE WHEN k % 9 <> 0 AND k % 50 = 3 AND doc_id NOT LIKE '%7' THEN 1 END AS repaired, k % 9 <> 0 AND doc_id LIKE 'C%7' AS bare FROM g)
+    SELECT 'all' AS level, NULL AS reason, NULL AS doc_id, count(*) AS total, count(*) - count(why) AS validated, count(why) AS dropped, count(repaired) AS page_repairs, bool_or(bare) AS no_page_map FROM h
+    UNION ALL SELECT 'reason', reason, NULL, count(*), 0, count(*), 0, bool_or(bare) FROM h WHERE why IS NOT NULL GROUP BY reason
+    UNION ALL SELECT 'document', NULL, doc_id, count(*), count(*) - count(why), count(why), count(repaired), bool_or(bare) FROM h WHERE k % 9 <> 0 GROUP BY doc_id""",
+)
+def gate_reports(spark, sf_dir):
+    return gate.gate_reports(_checked_records(spark, sf_dir))
+
+
+# Quotes that begin on one page and end on the next, some in capitals, some citing the later page.
+_BORDERS = """SELECT 'over-' || CAST(k AS STRING) AS finding_id, doc_id, CAST(CASE WHEN k % 3 = 0 THEN page_no + 1 ELSE page_no END AS INT) AS page, CAST(s AS INT) AS char_start, CAST(s + 23 AS INT) AS char_end,
+  CASE WHEN k % 5 = 0 THEN upper(quote) ELSE quote END AS quote, page_no AS true_page, k
+FROM (SELECT doc_id, page_no, k, coalesce(CAST(sum(length(page_text) + 1) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) + length(page_text) - 12 AS s,
+    right(page_text, 12) || chr(10) || left(lead(page_text) OVER (PARTITION BY doc_id ORDER BY page_no), 10) AS quote FROM {pages} AS pages) AS placed
+WHERE quote IS NOT NULL"""
+
+
+@query(
+    "check_finding_pages",
+    f"""{_F}, b AS ({_BORDERS.format(pages=f"({sql_pages()})")})
+    SELECT finding_id, {REASON} AS reason, true_page AS page, CASE WHEN k % 50 = 3 THEN 'page_repaired_' || CAST(true_page + 1 AS VARCHAR) || '_to_' || CAST(true_page AS VARCHAR) END AS page_repair FROM f
+    UNION ALL SELECT finding_id, CASE WHEN k % 5 = 0 THEN 'quote_mismatch' END, CASE WHEN k % 5 = 0 THEN page ELSE true_page END, CASE WHEN k % 5 <> 0 AND k % 3 = 0 THEN 'page_repaired_' || CAST(true_page + 1 AS VARCHAR) || '_to_' || CAST(true_page AS VARCHAR) END FROM b""",
+)
+def check_finding_pages(spark, sf_dir):
+    """The gate from pages, with quotes over page borders."""
+    pages = contract_pages(spark, sf_dir)
+    names = ["finding_id", "doc_id", "page", "char_start", "char_end", "quote"]
+    findings = contract_findings(spark, sf_dir).select(*names).union(spark.sql(_BORDERS, pages=pages).select(*names))
+    checked = gate.check_finding_pages(findings, pages.select("doc_id", "page_no", "page_text"))
+    return checked.select("finding_id", "reason", "page", "page_repair")
 
 
 @query("require_gate", f"{_F}, r AS (SELECT count({REASON})::DOUBLE / count(*) AS rate, count(*) > count({REASON}) AS good FROM f) SELECT v.limit_, coalesce(good AND rate <= v.limit_, false) AS passes FROM r, (VALUES (0.01::DOUBLE), (0.2::DOUBLE), (0.5::DOUBLE)) v(limit_)")
@@ -649,9 +711,23 @@ def score_asset(spark, sf_dir):
     return _scored(spark, sf_dir).select("finding_id", "severity", "severity_reason", "severity_rank", "deal_structure", "low_confidence")
 
 
-@query("skipped_findings", f"{_F} SELECT count(*) FILTER (NOT validated) AS unvalidated, 0::BIGINT AS unknown_clause FROM f")
+@query("skipped_findings", f"{_F} SELECT count(*) FILTER (NOT validated) AS unvalidated, count(*) FILTER (validated AND k % 17 = 0) AS unknown_clause FROM f")
 def skipped_findings(spark, sf_dir):
-    return severity.skipped(contract_findings(spark, sf_dir))
+    findings = contract_findings(spark, sf_dir)
+    return severity.skipped(findings.withColumn("clause_type", F.when(F.col("k") % 34 == 0, "force_majeure").when(F.col("k") % 17 != 0, F.col("clause_type"))))
+
+
+@query("review_pages", f"{_S} SELECT finding_id, CAST((row_number() OVER w - 1) // 100 AS INT) AS page FROM s WINDOW w AS (ORDER BY {_RANK}, low_confidence, doc_id, page, char_start, finding_id) QUALIFY row_number() OVER w <= 300")
+def review_pages(spark, sf_dir):
+    """The first three pages of the review list, each from where the last one ended."""
+    scored = _stored(_scored(spark, sf_dir), "scored")
+    found, last = None, None
+    for number in range(3):
+        page = _stored(severity.review_page(scored, 100, last), "page")
+        rows = page.select("finding_id", F.lit(number).alias("page"))
+        found = rows if found is None else found.union(rows)
+        last = severity.review_order(page).tail(1)[0]
+    return found
 
 
 @query("review_order", f"{_S} SELECT finding_id, severity, low_confidence, row_number() OVER (ORDER BY {_RANK}, low_confidence, doc_id, page, char_start, finding_id)::BIGINT AS place FROM s")
@@ -837,6 +913,27 @@ def gold_spans(spark, sf_dir):
     return gold.gold_spans(gold.read_gold(spark, path, lines=True)).drop("gold_ix", "text")
 
 
+@query("gold_last_entry", f"WITH p AS ({sql_pages()}), d AS (SELECT doc_id, sum(k) AS x, count(*) AS n FROM p GROUP BY doc_id) SELECT lower(doc_id) AS doc_key, n AS paragraphs, CASE x % 3 WHEN 0 THEN 'second' WHEN 1 THEN 'later' ELSE 'early' END AS version FROM d")
+def gold_last_entry(spark, sf_dir):
+    """Annotations of one key in two lines of a file, and in two files: the last one counts."""
+    path = scratch.fresh_path(spark, "gold")
+    keys = contract_pages(spark, sf_dir).groupBy("doc_id").agg(F.sum("k").alias("x"))
+    entry = F.col("data")[0]
+    rows = _stored(_nested(spark, sf_dir).join(keys, F.concat("doc_id", F.lit(".pdf")) == entry["title"]), "entries")
+
+    def written(part: DataFrame, folder: str, *versions: str) -> None:
+        said = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(versions))))
+        named = F.transform(entry["paragraphs"], lambda q: F.struct(F.col("said.v").alias("context"), q["qas"].alias("qas")))
+        lines = part.withColumn("said", said).withColumn("data", F.array(F.struct(entry["title"].alias("title"), named.alias("paragraphs"))))
+        lines.repartition("doc_id").sortWithinPartitions("doc_id", "said.i").select("data").write.json(f"{path}/{folder}")
+
+    written(rows, "a", "early")
+    written(rows.where("x % 3 = 0"), "b", "first", "second")
+    written(rows.where("x % 3 = 1"), "c", "later")
+    read = gold.read_gold(spark, f"{path}/*", lines=True)
+    return read.groupBy("doc_key").agg(F.count("*").alias("paragraphs"), F.max("context").alias("version"))
+
+
 @query(
     "place_findings",
     f"""{_F}, x AS (SELECT doc_id, page_no, replace(page_text, chr(10), ' ') AS context FROM ({sql_pages()}) AS p),

@@ -43,14 +43,20 @@ def category_from_question(question: Column) -> Column:
 
 def read_gold(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Paragraphs of annotation files: each one JSON object, or with ``lines`` one object in a line."""
-    return paragraphs(spark.read.schema(SCHEMA).option("multiLine", not lines).json(path))
-
-
-def paragraphs(gold: DataFrame) -> DataFrame:
-    """(doc_key, para_ix, context, qas). Of entries with one key the last counts; one without
-    paragraphs replaces nothing, and one without a key is left out."""
-    entries = gold.select(F.posexplode("data").alias("entry_ix", "entry"))
-    entries = entries.select("entry_ix", normalize_doc_key(F.col("entry.title")).alias("doc_key"), F.col("entry.paragraphs").alias("paragraphs"))
+    if not lines:
+        return paragraphs(spark.read.schema(SCHEMA).option("multiLine", True).json(path).select("data", F.col("_metadata.file_path").alias("file")), "file")
+    # a file's parts lie in the order of their starts, and a part's lines in the order of reading
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line"))
+    rows = read.where(F.trim("value") != "").select(F.from_json("value", SCHEMA, {"mode": "FAILFAST"}).alias("row"), "file", "part", "line")
+    return paragraphs(rows.select("row.data", "file", "part", "line"), "file", "part", "line")
+
+
+def paragraphs(gold: DataFrame, *order: str) -> DataFrame:
+    """(doc_key, para_ix, context, qas). Of entries with one key the last counts, by the columns in
+    ``order`` and then by the place in ``data``; one without paragraphs replaces nothing, and one without
+    a key is left out."""
+    entries = gold.select(*order, F.posexplode("data").alias("entry_ix", "entry"))
+    entries = entries.select(F.struct(*order, "entry_ix").alias("entry_ix"), normalize_doc_key(F.col("entry.title")).alias("doc_key"), F.col("entry.paragraphs").alias("paragraphs"))
     entries = entries.where("doc_key != '' AND size(paragraphs) > 0")
     last = entries.groupBy("doc_key").agg(F.max_by("paragraphs", "entry_ix").alias("paragraphs"))
     rows = last.select("doc_key", F.posexplode("paragraphs").alias("para_ix", "p"))

@@ -33,3 +33,10 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)

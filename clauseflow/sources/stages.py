@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean
-from ..schemas import PAGES, REQUIRED
+from ..schemas import DOCUMENTS, PAGES, REQUIRED
 
 
 def read_stage(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = (), corrupt: str | None = None, extra: str | None = None) -> DataFrame:
     """JSON lines with a declared schema. Blank lines are skipped.
 
     A malformed line ends the job, and so does a row without a required field, when that row is
-    read; with ``corrupt``, malformed lines land in that column instead. With ``extra``, that column
+    read; with ``corrupt``, malformed lines land in that column instead, and nothing is required of
+    them. With ``extra``, that column
     has the keys that the schema does not know, as a JSON object in the keys' order (null: none).
     """
     mode = "PERMISSIVE" if corrupt else "FAILFAST"
@@ -21,21 +22,23 @@ def read_stage(spark: SparkSession, path: str, schema: str, required: tuple[str,
         reader = spark.read.option("mode", mode)
         whole = f"{schema}, {corrupt} string" if corrupt else schema
         reader = reader.option("columnNameOfCorruptRecord", corrupt) if corrupt else reader
-        return require(reader.schema(whole).json(path), required)
+        return require(reader.schema(whole).json(path), required, corrupt)
     lines = spark.read.text(path).where(F.trim("value") != "")
     fields = f"{schema}, {corrupt} string" if corrupt else schema
     options = {"mode": mode} | ({"columnNameOfCorruptRecord": corrupt} if corrupt else {})
     known = [f.name for f in spark.createDataFrame([], schema).schema]
     held = F.map_filter(F.from_json("value", "map<string,variant>"), lambda k, v: ~k.isin(*known))
     rows = lines.select(F.from_json("value", fields, options).alias("row"), F.when(F.size(held) > 0, F.to_json(held)).alias(extra))
-    return require(rows.select("row.*", extra), required)
+    return require(rows.select("row.*", extra), required, corrupt)
 
 
-def require(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Every row as it is, or an error that names the first required field without a value."""
+def require(df: DataFrame, columns: tuple[str, ...], corrupt: str | None = None) -> DataFrame:
+    """Every row as it is, or an error that names the first required field without a value; rows with
+    a text in ``corrupt`` are left alone."""
     for name in columns:
         missing = F.raise_error(F.lit(f"missing field: {name}")).cast(df.schema[name].dataType)
-        df = df.withColumn(name, F.when(F.col(name).isNull(), missing).otherwise(F.col(name)))
+        lacks = F.col(name).isNull() & (F.col(corrupt).isNull() if corrupt else F.lit(True))
+        df = df.withColumn(name, F.when(lacks, missing).otherwise(F.col(name)))
     return df
 
 
@@ -43,17 +46,24 @@ def read_named_stage(spark: SparkSession, path: str, name: str, schema: str) ->
     return read_stage(spark, path, schema, REQUIRED.get(name, ()))
 
 
-def write_stage(df: DataFrame, path: str, format: str = "json", extra: str | None = None) -> None:
-    """Writes a stage; with ``extra``, JSON lines in which that column's keys stand beside the others."""
+def write_counted(df: DataFrame, path: str, format: str = "parquet", **counts: Column) -> dict[str, int]:
+    """Writes a table and returns what was counted on the way, ``rows`` at least: no second scan."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(name) for name, c in counts.items())).write.format(format).save(path)
+    return seen.get
+
+
+def write_stage(df: DataFrame, path: str, format: str = "json", extra: str | None = None) -> int:
+    """Writes a stage and returns its number of rows; with ``extra``, JSON lines in which that column's
+    keys stand beside the others."""
     if extra is None:
-        df.write.format(format).save(path)
-        return
+        return write_counted(df, path, format)["rows"]
     known = F.to_json(F.struct(*(c for c in df.columns if c != extra)))
     more = F.regexp_replace(extra, r"^\s*\{\s*|\s*\}\s*$", "")
     head = F.regexp_replace(known, r"\}$", "")
     comma = F.when(head == "{", "").otherwise(",")
     line = F.when(F.coalesce(more, F.lit("")) == "", known).otherwise(F.concat(head, comma, more, F.lit("}")))
-    df.select(line.alias("value")).write.text(path)
+    return write_counted(df.select(line.alias("value")), path, "text")["rows"]
 
 
 def read_pages(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
@@ -72,6 +82,18 @@ def write_documents(documents: DataFrame, path: str) -> None:
     documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(path)
 
 
+def write_document_table(documents: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+    """Documents as a table in buckets of doc_id, sorted in each: joins on doc_id move no text. The
+    number of buckets is for the writer to choose, some GB of text each at the most."""
+    documents.repartition(buckets, "doc_id").write.bucketBy(buckets, "doc_id").sortBy("doc_id").option("path", path).saveAsTable(name)
+
+
+def open_document_table(spark: SparkSession, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """The table of ``write_document_table``, in a session that does not know it yet."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({DOCUMENTS}) USING parquet CLUSTERED BY (doc_id) SORTED BY (doc_id) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def read_documents(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
     """The documents; with ``wanted(doc_id)``, a row for each, its text null if there is none."""
     documents = spark.read.parquet(path)
