@@ -188,7 +188,7 @@ def require_gate(report: DataFrame, max_drop_rate: float = MAX_DROP_RATE) -> Non
     """An error if there was nothing, too much was dropped, or nothing passed; call it after the
     output is written."""
     row = report.first()
-    if not row["total"]:
+    if row is None or not row["total"]:
         raise ValueError("no findings to check")
     rate = row["dropped"] / row["total"]
     if rate > max_drop_rate:
