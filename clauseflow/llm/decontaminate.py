@@ -9,8 +9,9 @@ algorithm gives the least edit distance of the item to any substring there.
 The items are the small side: they are read in blocks of ``BLOCK`` characters at most (one pass
 over the documents each), so what goes to every task has a bound however many items there are.
 
-Defined cases: null texts and items match nothing; items under ``least`` characters after
-normalising are not searched; repeated items and repeated rows each get rows of their own; very
+Defined cases: null, empty and blank texts and items match nothing; items under ``least`` characters
+after normalising are searched without edits, as whole words; other columns, whatever their names,
+are left alone; an empty table of either kind gives no matches; repeated items and repeated rows each get rows of their own; very
 long texts are searched whole, in one pass.
 """
 
@@ -130,18 +131,17 @@ def _blocks(items: DataFrame, key: str, text: str) -> Iterator[tuple[int, list[t
         yield n, [(r[0], normal(r[1])) for r in part.collect()]
 
 
-def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", per: int = PER, least: int = LEAST, shortest: int = 1) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", per: int = PER, least: int = LEAST) -> DataFrame:
     """(key, item_key, edits, end): a row for each document and item within its error budget.
 
-    ``end`` is where the first best match ends in the normalised text. Items under ``shortest``
-    characters are left aside. A narrow map.
+    ``end`` is where the first best match ends in the normalised text. A narrow map.
     """
     kind, item_kind, item_type = kind_of(docs, key), kind_of(items, item_key), arrow_type(items, item_key)
     rows = docs.where(column(text).isNotNull()).select(column(key).alias("key"), column(text).alias("text"))
     batches_of(docs.sparkSession)
     made = []
     for blocks, block in _blocks(items, item_key, item_text):
-        held = [(k, item) for k, item in block if len(item) >= shortest]
+        held = [(k, item) for k, item in block if item]
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(held, per, least) if held else None
@@ -162,10 +162,9 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     return out.toDF(key, item_key, "edits", "end")
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", shortest: int = LEAST, **options) -> DataFrame:
-    """The documents in which no item of ``shortest`` characters or more stands; rows without a key
-    stay."""
-    leaks = stored(matches(docs, items, key, text, shortest=shortest, **options).select(column(key).alias("key")).distinct(), "leaks")
+def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents in which no item stands; rows without a key stay."""
+    leaks = stored(matches(docs, items, key, text, **options).select(column(key).alias("key")).distinct(), "leaks")
     return lacking(docs, key, leaks, "key")
 
 

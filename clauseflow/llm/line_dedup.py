@@ -13,9 +13,10 @@ Few lines need variants. An edit spares the first or the last half of a line, so
 neither half with another line of fitting length emit nothing, and the others only at places in the
 half that may differ. That test is exact as well: lines of length c and c - 1 meet under c.
 
-Defined cases: null is no line and stays null; lines under ``least`` characters always stay, unless
-``short`` lets exact copies of those go too (the pipeline does; op2 follows its SQL); blank lines
-under ``least`` always stay; texts split at line feeds only; rows with a null key stay as they are and are not
+Defined cases: null is no line and stays null; blank lines always stay; exact copies go whatever their
+length, and lines one edit apart from ``least`` characters on (in shorter ones an edit makes another
+word); very long lines cost in proportion to their length; an empty table gives an empty result; texts
+split at line feeds only; rows with a null key stay as they are and are not
 earlier than any; keys should be unique, and rows that share one share the line numbers removed.
 A document that loses nothing keeps its very text. Columns of the names that ``without_lines`` adds
 are replaced by its own, all others are passed on.
@@ -29,12 +30,13 @@ from pyspark.sql import functions as F
 from .common import attached, column, released, sift, spare, stored, table, without
 
 LEAST, GRID = 20, 128
+SOLID = r"[^\x09-\x0d\x20]"
 
 
-def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """(key, no, line) of every line with ``least`` characters or more."""
+def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, no, line) of every line that is not blank."""
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
-    return rows.where(F.char_length("line") >= least)
+    return rows.where(F.col("line").rlike(SOLID))
 
 
 def _halves(line: str, longer: "F.Column") -> list["F.Column"]:
@@ -146,14 +148,11 @@ def _within_one(line: str, other: str) -> "F.Column":
     return before & after & fits.between(0, 1) & (F.levenshtein(*middle) <= 1)
 
 
-def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, short: bool = False) -> DataFrame:
-    """(key, removed array<int>): the numbers, from 0, of the lines that go; others have no row.
-
-    With ``short``, lines under ``least`` characters that are not blank go as well when an earlier
-    line equals them; they are not compared for edits.
+def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """(key, removed array<int>): the numbers, from 0, of the lines that go; others have no row. Lines
+    under ``least`` characters are not compared for edits.
     """
-    lines = lines_of(docs, key, text, 1 if short else least)
-    lines = lines.where((F.char_length("line") >= least) | F.col("line").rlike(r"\S"))
+    lines = lines_of(docs, key, text)
     held: list[str] = []
     distinct = stored(_distinct(lines), "lines", held)
     again = distinct.where("times > 1").select("h1", "h2", "at")
@@ -199,13 +198,13 @@ OP2_SQL = f"""
 WITH spots AS (
   SELECT doc_id, unnest(range(len(l))) AS no, unnest(l) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
-), lines AS (SELECT * FROM spots WHERE length(line) >= {LEAST}),
+), lines AS (SELECT * FROM spots WHERE regexp_matches(line, '{SOLID}')),
 firsts AS (
   SELECT line, length(line) AS n, min((doc_id, no)) AS spot FROM lines GROUP BY line
-), halves AS (
-  SELECT line, n, spot, c, 'p' AS kind, left(line, (c - 1) // 2) AS half FROM firsts, (SELECT unnest([0, 1]) AS k), LATERAL (SELECT n + k AS c)
+), long AS (SELECT * FROM firsts WHERE n >= {LEAST}), halves AS (
+  SELECT line, n, spot, c, 'p' AS kind, left(line, (c - 1) // 2) AS half FROM long, (SELECT unnest([0, 1]) AS k), LATERAL (SELECT n + k AS c)
   UNION ALL
-  SELECT line, n, spot, c, 's', right(line, (c - 1) // 2) FROM firsts, (SELECT unnest([0, 1]) AS k), LATERAL (SELECT n + k AS c)
+  SELECT line, n, spot, c, 's', right(line, (c - 1) // 2) FROM long, (SELECT unnest([0, 1]) AS k), LATERAL (SELECT n + k AS c)
 ), pairs AS (
   SELECT DISTINCT a.line AS a, b.line AS b, a.spot AS a_at, a.n AS an, b.n AS bn
   FROM halves a JOIN halves b ON a.c = b.c AND a.kind = b.kind AND a.half = b.half AND b.spot < a.spot
