@@ -19,12 +19,12 @@ def brute(texts, least):
     for text in texts:
         kept = []
         for line in (text or "").split("\n"):
-            if len(line) >= least and any(within_one(line, s) for s in seen):
+            solid = line.strip(" \t\n\x0b\x0c\r")
+            near = len(line) >= least and any(len(s) >= least and within_one(line, s) for s in seen)
+            if not solid or not near and line not in seen:
+                kept.append(line)
+            if solid:
                 seen.append(line)
-                continue
-            if len(line) >= least:
-                seen.append(line)
-            kept.append(line)
         out.append("\n".join(kept) if text is not None else None)
     return out
 
@@ -38,7 +38,7 @@ def edited(rng, line):
 def test_equals_brute_force(docs, seed):
     rng = random.Random(seed)
     pool = ["".join(rng.choice("ab cdé") for _ in range(rng.choice([5, 20, 21, 40, 127, 128, 129, 300, 700]))) for _ in range(25)]
-    texts = [None, "", "\n\n", "short", "short"]
+    texts = [None, "", "\n\n", "short", "short", " " * 30, " " * 30, "x", "x\ny\n x"]
     for _ in range(60):
         lines = []
         for _ in range(rng.randrange(1, 6)):
