@@ -7,19 +7,21 @@ order, are ``LIKENESS`` of the template's words and of those added in between.
 Such a place lacks a share of the template's words at the most, so of any words that make up more
 than that share it has one. For each template the longest words are taken, until they do: the
 triggers. Words around triggers are the candidate blocks; long stretches are cut into blocks of
-``BLOCK`` words. Each block is compressed by itself and with each template as a raw zstandard
-dictionary, and templates are ranked by how many bytes they save. Those that save more than
-``SAVED`` of what the block or the template (the smaller) takes by itself are confirmed by the exact
-differences in wording: the template's words are aligned with the words of the block and of its
-surroundings as far as the template can reach, and missing and extra words are listed.
+``BLOCK`` words. Each block is compressed by itself and with each template that has a trigger in it as a
+raw zstandard dictionary (no other template can stand there), and templates are ranked by how many bytes
+they save. The exact differences in wording confirm the winners: the template's words are aligned with
+the words of the block and of its surroundings as far as the template can reach, along every run that
+both have in common and that is as long as a place must have; missing and extra words are listed.
+
+Where confirmed places share words, the template that saves most has them; among those within
+``MARGIN`` bytes of it, which is what short blocks vary by, the exact wording decides.
 
 A narrow map over the documents that have a trigger, by a built-in regular expression; nothing is
 shuffled, and the templates, a fixed list, go to every task. A text's cost is in proportion to its
 length times that of the templates.
 
 Defined cases: null and empty texts give no rows; repeated rows give rows of their own; a license
-named twice in one document gives a row for each place; of templates that cover the same words the
-one with more words in common counts; case, punctuation and line breaks do not count as
+named twice in one document gives a row for each place; an empty table gives an empty result; case, punctuation and line breaks do not count as
 differences; other columns, whatever their names, are left alone.
 """
 
@@ -27,7 +29,6 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import batches_of, column, kind_of, table, utf8
 from .license_texts import TEMPLATES
 
-AROUND, BLOCK, SAVED, LIKENESS = 4, 96, 0.0, 0.8
+AROUND, BLOCK, MARGIN, LIKENESS = 4, 96, 6, 0.8
 
 _LETTERS = bytes(c if c > 127 or chr(c).isdigit() or chr(c).islower() else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 
@@ -74,6 +75,16 @@ def blocks(places: list[int], size: int, around: int = AROUND, most: int = BLOCK
     return [(at, min(at + most, hi)) for lo, hi in stretches for at in range(lo, hi, most)]
 
 
+def shortest_run(size: int, likeness: float = LIKENESS) -> int:
+    """A place like a template of that many words has as many of them in one run at least: whatever is
+    missing or added parts the others into so many runs at the most."""
+    out = size
+    for added in range(math.floor(size * (1 / likeness - 1) + 1e-9) + 1):
+        missing = size - math.ceil(likeness * (size + added) - 1e-9)
+        out = min(out, -(-(size - missing) // (missing + added + 1)))
+    return max(1, out)
+
+
 class Template:
     """A template's words and the compressor that has them as its dictionary."""
 
@@ -83,7 +94,11 @@ class Template:
         content = b" ".join(self.words)
         held = zstandard.ZstdCompressionDict(content.rjust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.coder = zstandard.ZstdCompressor(level=3, dict_data=held, write_content_size=False, write_dict_id=False)
-        self.size = len(_PLAIN.compress(content))
+        self.triggers = triggers(self.words, likeness)
+        self.run = shortest_run(len(self.words), likeness)
+        self.places: dict[tuple[bytes, ...], list[int]] = {}
+        for i in range(len(self.words) - self.run + 1):
+            self.places.setdefault(tuple(self.words[i : i + self.run]), []).append(i)
 
 
 _PLAIN = zstandard.ZstdCompressor(level=3, write_content_size=False)
@@ -92,39 +107,38 @@ _PLAIN = zstandard.ZstdCompressor(level=3, write_content_size=False)
 class Scanner:
     """All templates, ready to compress with."""
 
-    def __init__(self, templates: dict[str, str] = TEMPLATES, saved: float = SAVED, likeness: float = LIKENESS) -> None:
+    def __init__(self, templates: dict[str, str] = TEMPLATES, likeness: float = LIKENESS, margin: int = MARGIN) -> None:
         self.templates = [Template(name, text, likeness) for name, text in templates.items() if words_of(text.encode())]
-        self.saved, self.likeness = saved, likeness
-        self.triggers = set().union(*(triggers(t.words, likeness) for t in self.templates))
+        self.likeness, self.margin = likeness, margin
+        self.triggers = set().union(*(t.triggers for t in self.templates))
 
-    def ranked(self, block: bytes) -> list[tuple[float, Template]]:
-        """Templates by the bytes that each saves, as a share of what the block or the template, the
-        smaller, takes by itself."""
-        alone = len(_PLAIN.compress(block))
-        shares = [((alone - len(t.coder.compress(block))) / min(alone, t.size), t) for t in self.templates]
-        return sorted(shares, key=lambda x: (-x[0], x[1].name))
+    def ranked(self, block: list[bytes]) -> list[tuple[int, Template]]:
+        """Templates that have a trigger in the block, by the bytes that each saves."""
+        held, text = set(block), b" ".join(block)
+        alone = len(_PLAIN.compress(text))
+        saved = [(alone - len(t.coder.compress(text)), t) for t in self.templates if not t.triggers.isdisjoint(held)]
+        return sorted(saved, key=lambda x: (-x[0], x[1].name))
 
     def places(self, template: Template, words: list[bytes], lo: int, hi: int) -> list[dict]:
         """Where the template stands in the words so as to reach into lo..hi, with the differences in
-        wording. What lies before and behind each common run is searched as well."""
-        out, open_ = [], [(max(0, lo - template.reach), min(len(words), hi + template.reach))]
-        least = max(1, int(self.likeness * len(template.words)) // (len(template.words) - int(self.likeness * len(template.words)) + 1))
-        while open_:
-            start, stop = open_.pop()
-            core = SequenceMatcher(None, template.words, words[start:stop], autojunk=False).find_longest_match()
-            if core.size < least:
+        wording: tried along every run of words in common, the longest first."""
+        start, stop = max(0, lo - template.reach), min(len(words), hi + template.reach)
+        size, open_, runs = template.run, {}, {}
+        for at in range(start, stop - size + 1):
+            for i in template.places.get(tuple(words[at : at + size]), ()):
+                first, end = open_.get(at - i, (at, 0))
+                first, end = open_[at - i] = first if end == at + size - 1 else at, at + size
+                longest = runs.get(at - i, (0, 0))
+                if end - first > longest[1] - longest[0]:
+                    runs[at - i] = first, end
+        out, slack = [], template.reach - len(template.words) + 2
+        for shift, (first, end) in sorted(runs.items(), key=lambda r: (r[1][0] - r[1][1], r[0])):
+            if any(p["first_word"] <= first and end <= p["first_word"] + p["words"] for p in out):
                 continue
-            slack = template.reach - len(template.words) + 2
-            a = max(start, start + core.b - core.a - slack)
-            b = min(stop, start + core.b - core.a + len(template.words) + slack)
-            place = self._aligned(template, words[a:b], a)
-            if place["likeness"] >= self.likeness:
-                first, end = place["first_word"], place["first_word"] + place["words"]
-                if first < hi and end > lo:
-                    out.append(place)
-                open_ += [(start, first), (end, stop)]
-            else:
-                open_ += [(start, start + core.b), (start + core.b + core.size, stop)]
+            a = max(start, shift - slack)
+            place = self._aligned(template, words[a : min(stop, shift + len(template.words) + slack)], a)
+            if place["likeness"] >= self.likeness and place["first_word"] < hi and place["first_word"] + place["words"] > lo:
+                out.append(place)
         return out
 
     def _aligned(self, template: Template, near: list[bytes], at: int) -> dict:
@@ -140,16 +154,14 @@ class Scanner:
 
     def scan(self, text: bytes) -> list[dict]:
         words = words_of(text)
-        found: dict[tuple[int, str], dict] = {}
+        found: dict[tuple[int, int, str], dict] = {}
         for lo, hi in blocks([i for i, w in enumerate(words) if w in self.triggers], len(words)):
-            for saved, template in self.ranked(b" ".join(words[lo:hi])):
-                if saved <= self.saved:
-                    break
+            for saved, template in self.ranked(words[lo:hi]):
                 for place in self.places(template, words, lo, hi):
-                    place |= {"saved": round(saved, 6), "likeness": round(place["likeness"], 6)}
-                    held = found.setdefault((place["first_word"], template.name), place)
-                    held["saved"] = max(held["saved"], place["saved"])
-        return chosen(list(found.values()))
+                    place |= {"saved": saved, "likeness": round(place["likeness"], 6)}
+                    held = found.setdefault((place["first_word"], place["words"], template.name), place)
+                    held["saved"] = max(held["saved"], saved)
+        return chosen(list(found.values()), self.margin)
 
 
 def _inner(runs: list, size: int) -> list:
@@ -161,16 +173,25 @@ def _inner(runs: list, size: int) -> list:
     return runs
 
 
-def chosen(places: list[dict]) -> list[dict]:
-    """Of places that share words, those with more words in common; in order of place."""
-    out: list[dict] = []
-    ends: list[tuple[int, int]] = []
-    for place in sorted(places, key=lambda p: (len(p["extra"]) - p["words"], -p["likeness"], p["license"], p["first_word"])):
-        lo, hi = place["first_word"], place["first_word"] + place["words"]
-        at = bisect_right(ends, (lo, math.inf))
-        if (at == 0 or ends[at - 1][1] <= lo) and (at == len(ends) or hi <= ends[at][0]):
-            ends.insert(at, (lo, hi))
-            out.append(place)
+def chosen(places: list[dict], margin: int = MARGIN) -> list[dict]:
+    """Of places that share words, the one whose template saves most; of those that save within
+    ``margin`` bytes as much, the one with more words in common. In order of place."""
+    wording = lambda p: (len(p["extra"]) - p["words"], -p["likeness"], p["license"], p["first_word"])
+    meet = lambda p, q: p["first_word"] < q["first_word"] + q["words"] and q["first_word"] < p["first_word"] + p["words"]
+    out, left = [], sorted(places, key=lambda p: p["first_word"])
+    while left:
+        # places that touch, one to the next, are settled by themselves
+        end, some = left[0]["first_word"] + left[0]["words"], 0
+        while some < len(left) and left[some]["first_word"] < end:
+            end = max(end, left[some]["first_word"] + left[some]["words"])
+            some += 1
+        group, left = left[:some], left[some:]
+        while group:
+            best = min(group, key=lambda p: (-p["saved"], wording(p)))
+            near = [p for p in group if meet(p, best) and p["saved"] >= best["saved"] - margin]
+            winner = min(near, key=wording)
+            out.append(winner)
+            group = [p for p in group if not meet(p, winner)]
     return sorted(out, key=lambda p: p["first_word"])
 
 
@@ -182,7 +203,7 @@ def pattern(templates: dict[str, str], likeness: float = LIKENESS) -> str:
     return f"(?i)(?<!{letter})(?:{words})(?!{letter})" if words else "(?!)"
 
 
-_SCHEMA = pa.schema([("license", pa.string()), ("first_word", pa.int32()), ("words", pa.int32()), ("saved", pa.float64()), ("likeness", pa.float64()), ("missing", pa.list_(pa.string())), ("extra", pa.list_(pa.string()))])
+_SCHEMA = pa.schema([("license", pa.string()), ("first_word", pa.int32()), ("words", pa.int32()), ("saved", pa.int32()), ("likeness", pa.float64()), ("missing", pa.list_(pa.string())), ("extra", pa.list_(pa.string()))])
 
 
 def license_places(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -203,7 +224,7 @@ def license_places(docs: DataFrame, key: str = "doc_id", text: str = "text", tem
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *made.columns], names=["key", *_SCHEMA.names])
 
     batches_of(docs.sparkSession)
-    out = rows.mapInArrow(run, f"key {kind}, license string, first_word int, words int, saved double, likeness double, missing array<string>, extra array<string>")
+    out = rows.mapInArrow(run, f"key {kind}, license string, first_word int, words int, saved int, likeness double, missing array<string>, extra array<string>")
     return out.withColumnRenamed("key", key)
 
 
