@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters that are worked on at a time, and distinct runs that a worker remembers.
-SLICE_CHARS, KNOWN = 1 << 20, 3 << 17
+SLICE_CHARS, KNOWN = 1 << 20, 1 << 19
 
 
 def slices(batch: pa.RecordBatch, text: int = 1, most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
