@@ -119,6 +119,17 @@ def flagged(rows: DataFrame, name: str, wanted: DataFrame, key: str, flag: str)
     return joined.select(*columns(rows), found.alias(flag))
 
 
+#: A key with more than one of HOT rows is hot: fewer than HOT keys can be, whatever the table's size.
+HOT = 1 << 10
+
+
+def hot_keys(counts: DataFrame, columns: list[str | Column], n: str) -> DataFrame:
+    """Of a table with the rows of each key in ``n``, the columns of those keys that have more than
+    1 in HOT of all rows: fewer than HOT, so that they may be broadcast."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.where(F.col(n) * HOT > total).select(*columns)
+
+
 def sift(rows: DataFrame, name: str, wanted: DataFrame, key: str) -> DataFrame:
     """The rows that ``flagged`` marks. They are then joined exactly; the point is not to shuffle the
     rest."""

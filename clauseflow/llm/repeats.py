@@ -21,9 +21,9 @@ of the parse with a count (``times``), so they make no hot trigger.
 
 Everything is shuffled by trigger or by document, as small rows; whole texts move twice, by
 document. A document's own phrases are its size at most. Where rows are joined to what their own
-trigger or window sums up to, both sides are dealt by a salt as well (``_summed``), so a trigger or a
-window that very many rows share is spread over SALTS tasks; the other joins leave such groups to
-adaptive execution, which splits them.
+trigger or window sums up to, both sides are dealt by a salt as well (``_spread``); where occurrences
+are joined to what is known of their trigger or phrase, the hot ones are (``_salted``). So a trigger, a
+phrase or a window that very many rows share is spread over SALTS tasks.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_type, batches_of, kind_of, released, stored
+from .common import arrow_type, batches_of, hot_keys, kind_of, released, stored
 
 TILE, SALTS = 1 << 19, 32
 #: Low bits of a key that hold a place in a chunk, which has under 2 * TILE units and a window.
@@ -177,12 +177,13 @@ def repeated(docs: DataFrame, units: Units, piece: Callable[[bytes, list[tuple[i
     kind = (kind_of(docs, "key"), arrow_type(docs, "key"))
     first: list[str] = []
     found = stored(parse(docs, units, k, window), "parse", first)
-    often = found.groupBy("trigger").agg(F.sum("times").alias("n")).where("n > 1").select("trigger")
-    occurrences = stored(found.join(often, "trigger", "left_semi"), "occurrences", held)
+    often = found.groupBy("trigger").agg(F.sum("times").alias("n"), F.count("*").alias("met")).where("n > 1")
+    often = stored(often.select("trigger", "met"), "often", first)
+    occurrences = stored(_salted(found, often, ["trigger"], "left_semi"), "occurrences", held)
     released(docs.sparkSession, first)
     words = ["trigger", "c1", "c2"]
     dictionary = occurrences.groupBy(*words).agg(
-        F.sum("times").alias("copies"), F.min("key").alias("least"), F.min(F.struct("key", "first", "windows", "ahead")).alias("at")
+        F.sum("times").alias("copies"), F.count("*").alias("met"), F.min("key").alias("least"), F.min(F.struct("key", "first", "windows", "ahead")).alias("at")
     )
     dictionary = stored(dictionary.withColumn("salt", _salt("c1")), "dictionary", held)
     kinds = dictionary.groupBy("trigger", "salt").agg(F.count("*").alias("kinds"))
@@ -207,7 +208,7 @@ def repeated(docs: DataFrame, units: Units, piece: Callable[[bytes, list[tuple[i
     hashed = single.groupBy(*words).agg(F.collect_list(F.struct(F.col("at").alias("lo"), F.col("at").alias("hi"), "copies", "least")).alias("ranges"))
 
     ranges = alone.union(compared.select(alone.columns)).union(hashed.select(alone.columns))
-    met = occurrences.join(ranges, words).select("key", "first", "windows", "times", F.inline("ranges"))
+    met = _salted(occurrences, ranges, words, counts=dictionary).select("key", "first", "windows", "times", F.inline("ranges"))
     # a range of the whole phrase goes on through all its times, any other starts anew each time
     through = (F.col("lo") == 0) & (F.col("hi") == F.col("windows") - 1)
     starts = F.when(through, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("times") - 1))
@@ -220,6 +221,18 @@ def _salt(name: str) -> F.Column:
     return F.pmod(F.col(name), F.lit(SALTS)).cast("int")
 
 
+def _salted(rows: DataFrame, wanted: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """rows(key, first, ...) joined with ``wanted``, which has each of the keys once. Rows of a hot key,
+    by ``met`` in ``counts`` (wanted itself by default), are dealt over SALTS tasks by their places,
+    and what is wanted of it goes to each."""
+    hot = F.broadcast(hot_keys(wanted if counts is None else counts, [*keys, F.lit(True).alias("hot")], "met"))
+    place = F.when(F.col("hot"), F.pmod(F.xxhash64("key", "first"), F.lit(SALTS)).cast("int")).otherwise(0)
+    places = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.join(hot, keys, "left").withColumn("salt", place).drop("hot")
+    copied = wanted.join(hot, keys, "left").withColumn("salt", F.explode(places)).drop("hot")
+    return dealt.join(copied, [*keys, "salt"], how).drop("salt")
+
+
 def _spread(parts: DataFrame, keys: list[str], *sums: F.Column) -> DataFrame:
     """parts(keys, salt, partial sums) -> (keys, salt, sums): the key's sums beside each of its salts,
     so that rows join them by key and salt. A key has SALTS parts at the most."""

@@ -8,8 +8,9 @@ any store, and each content is a valid ``.warc.zst`` file.
 
 Of records with equal payloads (by length and SHA-1) of at least ``least`` bytes the one with the
 greatest key is stored as ``response``; the others are ``revisit`` records that name it and have no
-payload. The greatest key comes from an aggregate of digests that combines before its shuffle, so a
-payload that very many pages share is no hot group; only pages whose digest may repeat are shuffled.
+payload. The greatest key comes from an aggregate of digests that combines before its shuffle. Digests that hold
+more than 1 in HOT of the pages with repeated digests, fewer than HOT, are broadcast, so that their pages
+are not shuffled; of the others only pages whose digest may repeat are.
 
 Defined cases: a null payload is empty; a null URL becomes ``urn:unknown``; pages with equal keys
 count as one origin (none refers to itself); rows with a null key are left out; an empty table
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import fresh_path
-from .common import arrow_type, batches_of, column, columns, flagged, kind_of, released, spare, stored, table, without
+from .common import arrow_type, batches_of, column, columns, flagged, hot_keys, kind_of, released, spare, stored, table, without
 
 FRAME_BYTES, BUNDLE_BYTES, LEAST = 1 << 18, 1 << 22, 0
 _DATE = "2026-01-01T00:00:00Z"
@@ -115,16 +116,18 @@ def marked(pages: DataFrame, key: str = "page_id", payload: str = "html", least:
 
     Digests that repeat are stored first; ``held`` gets that table."""
     kept = without(pages, origin)
-    content, sha, size, last, n, again = spare(kept, "content", "sha", "size", "last", "n", "again")
+    sha, size, last, n, again, most = spare(kept, "sha", "size", "last", "n", "again", "most")
     body = F.coalesce(column(payload), F.lit("")).cast("binary")
     rows = kept.where(column(key).isNotNull()).withColumn(sha, F.sha1(body)).withColumn(size, F.octet_length(body).cast("bigint"))
     groups = rows.where(F.col(size) >= least).groupBy(sha, size).agg(F.max(column(key)).alias(last), F.count("*").alias(n))
-    groups = stored(groups.where(F.col(n) > 1).drop(n), "repeats", held)
-    marks = flagged(rows, sha, groups, sha, again)
+    groups = stored(groups.where(F.col(n) > 1), "repeats", held)
+    hot = hot_keys(groups, [sha, size, F.col(last).alias(most)], n)
+    marks = flagged(rows, sha, groups, sha, again).join(F.broadcast(hot), [sha, size], "left")
     own = columns(kept)
-    alone = marks.where(~F.col(again)).select(*own, F.lit(None).cast(kind_of(kept, key)).alias(origin))
-    joined = marks.where(F.col(again)).join(groups, [sha, size], "left")
-    return alone.union(joined.select(*own, F.when(F.col(last) > column(key), F.col(last)).alias(origin)))
+    greater = lambda c: F.when(F.col(c) > column(key), F.col(c)).alias(origin)
+    settled = ~F.col(again) | F.col(most).isNotNull()
+    joined = marks.where(~settled).join(groups.drop(n), [sha, size], "left")
+    return marks.where(settled).select(*own, greater(most)).union(joined.select(*own, greater(last)))
 
 
 def _bundle(key: pa.DataType) -> pa.Schema:

@@ -3,6 +3,7 @@ version of the queries that SQL does not express."""
 
 import hashlib
 import random
+import re
 import zlib
 from decimal import Decimal
 
@@ -10,6 +11,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from clauseflow.llm import bpe, decontaminate, gif, license_scan, line_dedup, near_copies, quality, simhash, substring_dedup, suffix_dedup, warc
+from test_operators import brute_best, brute_fingerprint
 
 CLASHES = (
     "key", "no", "line", "n_lines", "n_removed", "removed", "mark", "numbers", "score", "label", "x", "fp", "component", "node", "band", "gone", "media",
@@ -222,3 +224,52 @@ def test_op8_equals_brute_force(spark, tables, monkeypatch):
     for r in quality.op8_quality_classifier(spark, sf).collect():
         assert r.held_out == out[r.doc_id] and r.predicted == (r.score >= 0.5)
         assert r.score == pytest.approx(score(stats[r.doc_id]), abs=1e-6)
+
+
+def test_op5_equals_brute_force(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [None, "", " ", "one", "One two", "one TWO", "a b c", "a b  C"]
+    for _ in range(12):
+        held = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        texts.append(" ".join(held))
+        for _ in range(4):  # each differs from the one before in a word
+            held[rng.randrange(len(held))] = f"w{rng.randrange(10**6)}"
+            texts.append(" ".join(held))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    prints = [brute_fingerprint(t) for t in texts]
+    close = [[j for j, b in enumerate(prints) if (a ^ b).bit_count() <= 2] for a in prints]
+    assert any(prints[j] != a for a, near in zip(prints, close, strict=True) for j in near)
+    least = list(range(len(texts)))
+    for _ in texts:
+        least = [min(least[j] for j in near) for near in close]
+    rows = by_id(simhash.op5_simhash_near_dedup(spark, f"file://{tmp_path}"))
+    assert {i: (r.fingerprint, r.component_id) for i, r in rows.items()} == {i: (f"{p:016x}", c) for i, (p, c) in enumerate(zip(prints, least, strict=True))}
+
+
+def test_op10_equals_brute_force(spark, tmp_path):
+    rng = random.Random(9)
+    items = [words(rng, rng.randint(3, 9)) for _ in range(6)] + ["Zeta 12", "no such thing", "", None]
+    texts = [None, "", "zeta 123 zeta 12", "Zeta  12", "zeta 12x"]
+    for item in items[:6]:
+        for edits in (0, 1, 2, 4, 8):
+            held = list(item)
+            for _ in range(edits):
+                held[rng.randrange(len(held))] = "#"
+            texts.append(words(rng, 12) + "\n" + "".join(held) + "\t" + words(rng, 12) + " " + item[:9])
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    expected = set()
+    for i, text in enumerate(texts):
+        text = " ".join((text or "").lower().split())
+        for j, item in enumerate(items):
+            item = " ".join((item or "").lower().split())
+            if len(item) >= 24:
+                edits, end = brute_best(item, text)
+                if edits <= len(item) // 12:
+                    expected.add((i, j, edits, end))
+            elif item:
+                whole = re.search(rf"(?<![^\W_]){re.escape(item)}(?![^\W_])", text)
+                expected |= {(i, j, 0, whole.end())} if whole else set()
+    rows = decontaminate.op10_benchmark_decontamination(spark, f"file://{tmp_path}").collect()
+    assert {tuple(r) for r in rows} == expected and len(rows) == len(expected)
+    assert {e for _, _, e, _ in expected} >= {0, 1, 2} and {6} <= {j for _, j, _, _ in expected}

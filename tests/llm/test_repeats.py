@@ -4,8 +4,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from clauseflow.llm import repeats, substring_dedup, suffix_dedup
+from clauseflow.llm import repeats, substring_dedup, suffix_dedup, warc
 
 
 def corpus(seed=5):
@@ -133,3 +134,42 @@ def test_broadcast_automata_equal_brute_force(docs, shard_words):
     rows = substring_dedup.without_words(table, spans).collect()
     got = [(r.n_words, r.n_removed, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in sorted(rows, key=lambda r: r.doc_id)]
     assert got == brute_words(texts, 12)
+
+
+@pytest.fixture
+def no_adaptive(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hot_keys_are_dealt_over_tasks(no_adaptive):
+    rows = no_adaptive.range(30000).select(F.col("id").alias("key"), F.lit(0).alias("first"), F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("trigger"))
+    counts = rows.groupBy("trigger").agg(F.count("*").alias("met")).where("trigger < 20000")
+    wanted = counts.select("trigger", (F.col("trigger") * 2).alias("twice"))
+    met = repeats._salted(rows.repartition(4), wanted, ["trigger"], counts=counts)
+    expected = rows.where("trigger < 20000").count()
+    assert met.count() == expected and met.where("twice <> trigger * 2").count() == 0
+    assert met.columns == ["trigger", "key", "first", "twice"]
+    sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < expected * 0.4
+    semi = repeats._salted(rows, counts, ["trigger"], "left_semi")
+    assert semi.count() == expected and sorted(semi.columns) == ["first", "key", "trigger"]
+
+
+def test_hot_phrase_and_digest_without_adaptive_execution(no_adaptive, docs):
+    shared = " ".join(f"shared{i}" for i in range(60))
+    texts = [(shared if i % 3 == 0 else "") + "".join(f" own{i}x{j}" for j in range(30)) for i in range(60)]
+    rows = substring_dedup.without_words(docs(texts), substring_dedup.earlier_spans(docs(texts), window=12)).collect()
+    got = [(r.n_words, r.n_removed, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in sorted(rows, key=lambda r: r.doc_id)]
+    assert got == brute_words(texts, 12)
+    pages = no_adaptive.range(6000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") < 3000, F.concat(F.lit("p"), (F.col("id") / 4).cast("int"))).otherwise(F.concat(F.lit("q"), "id")).alias("html"))
+    marks = warc.marked(pages.repartition(4))
+    last: dict = {}
+    plain = [(r.page_id, r.html) for r in pages.collect()]
+    for i, html in plain:
+        last[html] = max(i, last.get(html, i))
+    assert {r.page_id: r.origin for r in marks.collect()} == {i: None if last[h] == i else last[h] for i, h in plain}
+    assert max(r["count"] for r in marks.groupBy(F.spark_partition_id()).count().collect()) < 3000
