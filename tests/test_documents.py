@@ -140,5 +140,5 @@ def test_chunking_leaves_the_session_as_it_was(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
     rows = spark.createDataFrame([("a", "word " * 2000), ("b", ""), ("c", None)], "doc_id string, full_text string")
-    assert {r.doc_id for r in documents.chunked_spans(rows).collect()} == {"a"}
+    assert {r.doc_id for r in D.chunked_spans(rows).collect()} == {"a"}
     assert spark.conf.get(name) == before
