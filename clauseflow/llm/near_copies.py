@@ -1,12 +1,16 @@
-"""Near-duplicates by exact shingle similarity: MinHash bands propose, shingle sets decide.
+"""Near-duplicates: SimHash and, further off, MinHash bands propose, shingle sets decide.
 
 A text becomes the set of its 64-bit hashed shingles of ``SHINGLE`` words. Equal sets are one node.
 Two nodes are linked if the Jaccard similarity of their sets is at least 4/5, which is verified on
-the whole sets. Candidates share one of 40 bands of ``ROWS`` minima each: ``MINIMA`` minima are
-arranged in bands twice, in different orders. A pair at 0.8 misses all of them with a probability of
-some (1 - 0.8^6)^40 = 5e-6, a pair at 0.85 with 6e-9, and a pair at 0.3, like two texts that share a
-passage, meets in a band with 3 in 100. (A 64-bit SimHash puts pairs at 0.8 some 10 bits apart, and
-many of them further, where no grid of exact groups is left.)
+the whole sets.
+
+First each set has its SimHash fingerprint, and the grid of ``simhash`` finds those within two bits.
+A pair at 0.8 is some 10 of 64 bits apart, and many are further, where no grid of exact groups is
+left. So what that leaves in different components is looked for by bands as well. Such candidates
+share one of 40 bands of ``ROWS`` minima each: ``MINIMA`` minima are arranged in bands twice, in
+different orders. A pair at 0.8 misses all of them with a probability of some
+(1 - 0.8^6)^40 = 5e-6, a pair at 0.85 with 6e-9, and a pair at 0.3, like two texts that share a
+passage, meets in a band with 3 in 100.
 
 A band that more than ``crowded`` nodes share makes no pairs: its nodes are compared with its least
 and its greatest node. What that leaves in different components is dealt anew, by the band and one
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, kind_of, released, sift, stored, utf8
 from .components import components
-from .simhash import _hash
+from .simhash import _hash, majority, near_pairs
 
 SHINGLE, MINIMA, ROWS, FEW, CROWDED = 5, 120, 6, 8, 1024
 _RNG = np.random.default_rng(42)
@@ -72,19 +76,20 @@ def _nested(parts: list[np.ndarray]) -> pa.Array:
 
 
 def sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, node, n, bands, shingles) for every row; a narrow map."""
+    """(key, node, n, fp, bands, shingles) for every row; a narrow map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t) for t in batch.column(1).to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
-            columns = [batch.column(0), pa.array(nodes), pa.array([len(s) for s in found], pa.int32()), _nested([bands(s) for s in found]), _nested(found)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "n", "bands", "shingles"])
+            sizes, fps = pa.array([len(s) for s in found], pa.int32()), pa.array([majority(s) for s in found], pa.int64())
+            columns = [batch.column(0), pa.array(nodes), sizes, fps, _nested([bands(s) for s in found]), _nested(found)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "n", "fp", "bands", "shingles"])
 
     batches_of(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), utf8(text).alias("text"))
     kind = kind_of(rows, "key")
-    return rows.mapInArrow(run, f"key {kind}, node bigint, n int, bands array<bigint>, shingles array<bigint>")
+    return rows.mapInArrow(run, f"key {kind}, node bigint, n int, fp bigint, bands array<bigint>, shingles array<bigint>")
 
 
 def _sized(pairs: DataFrame) -> DataFrame:
@@ -117,6 +122,21 @@ def _linked(met: DataFrame, known: DataFrame, held: list[str], out: list[str]) -
     return stored(links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "links", out)
 
 
+def _by_fingerprint(nodes: DataFrame, held: list[str]) -> DataFrame:
+    """Pairs (a, b) that the SimHash grid proposes: nodes with one fingerprint as pairs with its least
+    and greatest node, and of fingerprints that the grid links their least and greatest nodes."""
+    ends = nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi"))
+    ends = stored(ends, "fingerprints", held)
+    near = near_pairs(ends.select("fp"), held=held)
+    two = ends.select("fp", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("end"))
+    one = two.select(F.col("fp").alias("a"), F.col("end").alias("x"))
+    other = two.select(F.col("fp").alias("b"), F.col("end").alias("y"))
+    crossed = near.join(one, "a").join(other, "b").select("x", "y")
+    shared = nodes.join(ends.where("lo.node != hi.node"), "fp")
+    alike = shared.select(F.struct("node", "n").alias("x"), F.explode(F.array("lo", "hi")).alias("y")).where("x.node != y.node")
+    return _sized(crossed.union(alike).select(F.col("x.node").alias("a"), F.col("x.n").alias("an"), F.col("y.node").alias("b"), F.col("y.n").alias("bn")))
+
+
 def verified(pairs: DataFrame, known: DataFrame, out: list[str]) -> DataFrame:
     """The pairs whose sets have a Jaccard similarity of 0.8 at least; known(node, n, shingles)."""
     held: list[str] = []
@@ -135,11 +155,12 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", crowde
     """(key, component): component is the least key that links reach, null only if none has a key."""
     held: list[str] = []
     marked = stored(sets(docs, key, text), "shingles", held)
-    nodes = stored(marked.groupBy("node").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes", held)
+    nodes = stored(marked.groupBy("node").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes", held)
     known = marked.select("node", "n", "shingles")
     finer = nodes.select("node", F.slice("bands", BANDS + 1, SUBS * LEVELS).alias("finer"))
     placed = nodes.select("node", "n", F.explode(F.slice("bands", 1, BANDS)).alias("band"))
-    links, roots = None, docs.sparkSession.createDataFrame([], "linked bigint, root bigint")
+    links = verified(_by_fingerprint(nodes.select("node", "n", "fp"), held), known, held)
+    roots = components(links, held=held).withColumnRenamed("node", "linked")
 
     def rooted(rows: DataFrame) -> DataFrame:
         return rows.join(roots, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "node")).drop("linked")
@@ -154,7 +175,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", crowde
         stars = _sized(stars.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("end.node").alias("b"), F.col("end.n").alias("bn")))
         found = verified(_joined(met.where(F.col("times") <= FEW)).union(stars).distinct(), known, held)
         some = _linked(met.where((F.col("times") > FEW) & (F.lit(last) | (F.col("times") <= crowded))), known, held, held)
-        links = found.union(some) if links is None else links.union(found).union(some)
+        links = links.union(found).union(some)
         roots = components(links, held=held).withColumnRenamed("node", "linked")
         open_ = stored(rooted(many.select("band", "node", "n")), "crowded", held)
         split = open_.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("band")

@@ -46,12 +46,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     if len(words) < shingle:
         return int(np.uint64(_hash(b" ".join(words))).astype(np.int64))
     n = len(words) - shingle + 1
-    hashes = np.fromiter(map(_hash, map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))), "<u8", n)
+    return majority(np.fromiter(map(_hash, map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))), "<u8", n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit SimHash of shingle hashes: the bits set in over half of them; zero of none."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 8192):
+    for at in range(0, len(hashes), 8192):
         bits = np.unpackbits(hashes[at : at + 8192].view(np.uint8), bitorder="little")
         counts += bits.reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:

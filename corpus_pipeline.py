@@ -1,6 +1,6 @@
 """The corpus pipeline: each stage takes what its predecessor kept of ``documents``.
 
-quality classifier -> line dedup -> near-dedup -> benchmark decontamination -> BPE encoding
+quality classifier -> line dedup -> SimHash near-dedup -> benchmark decontamination -> BPE encoding
 and decoding. The first four return the columns of ``documents``; the last returns a row for each
 document left: doc_id, its token ids' number and digest, and the digest of the text decoded again.
 """
@@ -32,7 +32,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near-duplicates: documents linked by
-    pairs that have four fifths of their five-word shingles in common (Jaccard).
+    pairs that have four fifths of their five-word shingles in common (Jaccard). Pairs come from the
+    SimHash grid, and those too far apart for it from MinHash bands.
 
     Documents that line dedup has left without a word are copies of each other: one stays.
     """

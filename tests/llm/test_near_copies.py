@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 import pytest
+import xxhash
 from clauseflow.llm import near_copies
 
 
@@ -50,3 +51,30 @@ def test_stage_equals_brute_force(docs, monkeypatch, crowded):
 
 def test_empty_table(docs):
     assert near_copies.near_copies(docs([])).count() == 0
+
+
+def test_simhash_links_without_bands(docs, monkeypatch):
+    """What the SimHash grid finds, which is held against fingerprints made bit by bit."""
+    rng = random.Random(5)
+    texts = [None, " ", "one two three"]
+    for at in range(20):
+        base = [f"t{at}w{rng.randrange(10**6)}" for _ in range(900)]
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(4)):
+            words = list(base)
+            words[rng.randrange(900)] = "changed"
+            texts.append(" ".join(words))
+        texts.append(" ".join(base[:450] + [f"n{rng.randrange(10**6)}" for _ in range(450)]))
+
+    def bit_by_bit(text):
+        hashes = [xxhash.xxh64_intdigest(" ".join(s), seed=42) for s in five(text)]
+        return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+    fps = [bit_by_bit(t) for t in texts]
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 2]
+    assert len({j for _, j in near}) > 10
+    least = list(range(len(texts)))
+    for i, j in near * len(near):
+        least[i] = least[j] = min(least[i], least[j])
+    monkeypatch.setattr(near_copies, "BANDS", 0)
+    assert {r.doc_id: r.component for r in near_copies.near_copies(docs(texts)).collect()} == dict(enumerate(least))
