@@ -54,18 +54,21 @@ def attach_pages(findings: DataFrame, pages: DataFrame, bin_chars: int = BIN) ->
     order = Window.partitionBy("doc_id").orderBy("start")
     numbered = placed.select("doc_id", "start", "end", "body", F.row_number().over(order).alias("number"))
     sizes = placed.groupBy(F.col("doc_id").alias("__doc")).agg(F.max("end").alias("__length"))
-    rows = findings.withColumn("__key", F.monotonically_increasing_id()).join(sizes, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    rows = findings.join(sizes, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
     bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / bin_chars), F.floor((hi - 1) / bin_chars)))
-    cited = rows.where(_sound("__length")).select("__key", F.col("doc_id").alias("__doc"), F.col("char_start").alias("lo"), F.col("char_end").alias("hi"))
-    cited = cited.withColumn("bin", bins(F.col("lo"), F.col("hi")))
+    # a place and its text follow from the document and the offsets: no number that is given to rows, and
+    # may be given otherwise when they are read again, ties a slice to its finding
+    place = [F.col("doc_id").alias("__doc"), F.col("char_start").alias("lo"), F.col("char_end").alias("hi")]
+    cited = rows.where(_sound("__length")).select(*place).withColumn("bin", bins(F.col("lo"), F.col("hi")))
     held = numbered.withColumn("bin", bins(F.col("start"), F.col("end"))).withColumnRenamed("bin", "__bin")
     met = cited.join(held, (F.col("__doc") == F.col("doc_id")) & (F.col("bin") == F.col("__bin")) & (F.col("lo") < F.col("end")) & (F.col("start") < F.col("hi")))
     # of the bins that both lie in, the first one speaks
     met = met.where(F.col("bin") == F.floor(F.greatest("lo", "start") / bin_chars))
     part = F.substring("body", F.greatest(F.col("lo") - F.col("start"), F.lit(0)) + 1, F.least("hi", "end") - F.greatest("lo", "start"))
-    whole = met.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("start", part.alias("part")))).alias("parts"), F.min("number").alias("__expected"))
-    cuts = whole.select("__key", F.array_join("parts.part", "").alias("__slice"), "__expected")
-    return rows.join(cuts, "__key", "left").drop("__key").withColumn("__bare", F.lit(False))
+    whole = met.groupBy("__doc", "lo", "hi").agg(F.sort_array(F.collect_set(F.struct("start", part.alias("part")))).alias("parts"), F.min("number").alias("__expected"))
+    cuts = whole.select("__doc", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.array_join("parts.part", "").alias("__slice"), "__expected")
+    same = (F.col("doc_id") == F.col("__doc")) & (F.col("char_start") == F.col("__lo")) & (F.col("char_end") == F.col("__hi"))
+    return rows.join(cuts, same, "left").drop("__doc", "__lo", "__hi").withColumn("__bare", F.lit(False))
 
 
 def check_finding(findings: DataFrame, documents: DataFrame, page_policy: str = "repair") -> DataFrame:
