@@ -9,18 +9,21 @@ from ..functions.text import SPACE, locate, pinned
 
 #: Characters of a quote's head, without white space; characters of a text that are cut at a time.
 HEAD, PART = 24, 256
+#: Quotes that are looked for beside one reading of a text; as many heads are looked for one by one.
+GATHERED, FEW = 1024, 64
 
 
 def _bare(text: str) -> Column:
     return F.regexp_replace(text, f"{SPACE}+", "")
 
 
-def _heads(bare: str, size: int) -> Column:
+def _heads(bare: str, size: int | Column) -> Column:
     """Hashes of all stretches of ``size`` characters. Characters are cut out of short parts, as finding
     one in a long text means walking there."""
+    size = F.lit(size) if isinstance(size, int) else size
     parts = F.regexp_extract_all(bare, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
-    ahead = F.transform(F.arrays_zip(parts.alias("x"), F.slice(parts, 2, 1 << 30).alias("y")), lambda p: F.concat(p["x"], F.coalesce(F.substring(p["y"], 1, size - 1), F.lit(""))))
-    cut = F.transform(ahead, lambda part: F.transform(F.sequence(F.lit(1), F.lit(PART)), lambda i: F.xxhash64(part.substr(i, F.lit(size)))))
+    ahead = F.transform(F.arrays_zip(parts.alias("x"), F.slice(parts, 2, 1 << 30).alias("y")), lambda p: F.concat(p["x"], F.coalesce(p["y"].substr(F.lit(1), size - 1), F.lit(""))))
+    cut = F.transform(ahead, lambda part: F.transform(F.sequence(F.lit(1), F.lit(PART)), lambda i: F.xxhash64(part.substr(i, size))))
     return F.array_distinct(F.flatten(cut))
 
 
@@ -28,7 +31,8 @@ def place_quotes(quotes: DataFrame, texts: DataFrame, within: str | None = None)
     """quotes(quote_id, quote), texts(text_id, text) -> (quote_id, text_id, start, end): the first place
     of every quote in every text that holds it, exactly or up to white space.
 
-    With ``within``, a column of both, a quote is looked for in texts of its own value only.
+    With ``within``, a column of both, a quote is looked for in texts of its own value only
+    (``_placed_within``).
 
     Without white space, a text that holds a quote holds the quote's head, HEAD characters or as many
     as it has. Heads are indexed by size, of which there are HEAD at the most; each text's stretches of
@@ -38,22 +42,44 @@ def place_quotes(quotes: DataFrame, texts: DataFrame, within: str | None = None)
 
     Blank and null quotes and null texts have no place.
     """
-    keys = [within] if within else []
+    if within:
+        return _placed_within(quotes, texts, within)
     bare = _bare("quote")
     size = F.least(F.lit(HEAD), F.char_length(bare))
-    asked = quotes.select("quote_id", "quote", *keys, size.alias("size"), F.xxhash64(F.substring(bare, 1, HEAD)).alias("head")).where("size > 0")
+    asked = quotes.select("quote_id", "quote", size.alias("size"), F.xxhash64(F.substring(bare, 1, HEAD)).alias("head")).where("size > 0")
     sizes = sorted(r[0] for r in asked.select("size").distinct().collect())  # HEAD at the most
-    held = texts.where("text IS NOT NULL")
-    if within:
-        held = held.join(asked.select(within).distinct(), within, "left_semi")
-    stripped = pinned(held, "bare", _bare("text"))
+    stripped = pinned(texts.where("text IS NOT NULL"), "bare", _bare("text"))
     stretches = [F.transform(_heads("bare", n), lambda h: F.struct(F.lit(n).alias("size"), h.alias("head"))) for n in sizes]  # noqa: B023 - called at once
     if not stretches:
         stretches = [F.array().cast("array<struct<size:int,head:bigint>>")]
-    starts = stripped.select("text_id", *keys, F.inline(F.concat(*stretches)))
-    wanted = asked.select("size", "head", *keys).distinct()
-    met = starts.join(wanted, ["size", "head", *keys], "left_semi")
-    pairs = met.join(asked, ["size", "head", *keys]).select("text_id", *keys, "quote_id", "quote")
-    near = pairs.join(texts.select("text_id", *keys, "text"), ["text_id", *keys])
+    starts = stripped.select("text_id", F.inline(F.concat(*stretches)))
+    wanted = asked.select("size", "head").distinct()
+    met = starts.join(wanted, ["size", "head"], "left_semi")
+    pairs = met.join(asked, ["size", "head"]).select("text_id", "quote_id", "quote")
+    near = pairs.join(texts.select("text_id", "text"), "text_id")
     placed = pinned(near, "place", locate(F.col("text"), F.col("quote"))).where("place IS NOT NULL")
-    return placed.select("quote_id", *keys, "text_id", "place.start", "place.end")
+    return placed.select("quote_id", "text_id", "place.start", "place.end")
+
+
+def _placed_within(quotes: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """``place_quotes`` for quotes and texts of one ``key``.
+
+    A key's quotes are gathered to arrays of some GATHERED and meet its texts in one join; no stretch of a
+    text is a row of its own. A text looks for FEW heads one by one; for more, its stretches are hashed and
+    the hashes of both intersected. What stands in a text up to white space is searched for there.
+    """
+    asked = quotes.select("quote_id", "quote", key, F.substring(_bare("quote"), 1, HEAD).alias("head")).where("head != ''")
+    busy = asked.groupBy(F.col(key).alias("__busy")).agg(F.count("*").alias("__n")).where(F.col("__n") > GATHERED)
+    dealt = F.pmod(F.xxhash64("quote_id"), F.ceil(F.col("__n") / GATHERED))
+    parts = asked.join(busy, F.col(key) == F.col("__busy"), "left").withColumn("__part", F.coalesce(dealt, F.lit(0)))
+    lists = parts.groupBy(key, "__part").agg(F.collect_list(F.struct("quote_id", "quote", "head")).alias("asked")).drop("__part")
+    met = texts.where("text IS NOT NULL").select("text_id", key, "text").join(lists, key)
+    met = pinned(met, "bare", _bare("text"))
+    sizes = F.array_distinct(F.transform("asked", lambda q: F.char_length(q["head"])))
+    stretches = F.flatten(F.transform(sizes, lambda n: _heads("bare", n)))
+    shared = F.array_intersect(stretches, F.transform("asked", lambda q: F.xxhash64(q["head"])))
+    met = pinned(met, "shared", F.when(F.size("asked") > FEW, shared))
+    near = F.filter("asked", lambda q: F.when(F.col("shared").isNull(), F.contains(F.col("bare"), q["head"])).otherwise(F.array_contains("shared", F.xxhash64(q["head"]))))
+    pairs = met.select("text_id", key, "text", "bare", F.explode(near).alias("q")).where(F.contains("bare", _bare("q.quote")))
+    placed = pinned(pairs, "place", locate(F.col("text"), F.col("q.quote"))).where("place IS NOT NULL")
+    return placed.select("q.quote_id", key, "text_id", "place.start", "place.end")

@@ -1,11 +1,13 @@
 """What must not grow faster than its input, and results that must not hang on how rows are dealt."""
 
 import random
+import re
 
 import duckdb
+import pytest
 
 import __spark_entry__ as entry
-from clauseflow.operators import documents, extraction, gate
+from clauseflow.operators import documents, extraction, gate, placement
 
 
 def test_sweep_reads_the_prompts_a_fixed_number_of_times(spark, tmp_path):
@@ -77,3 +79,26 @@ def test_ids_of_equal_paths_do_not_hang_on_the_order_of_rows(spark):
         random.Random(seed).shuffle(rows)
         named = documents.assign_doc_ids(spark.createDataFrame(rows, "page_id int, url string"), "url", "page_id").collect()
         assert {r.page_id: r.doc_id if "_" not in r.doc_id else None for r in named} == want
+
+
+@pytest.mark.parametrize("few, gathered", [(64, 1024), (2, 7), (0, 1)])
+def test_placement_within_makes_no_row_for_a_stretch(spark, monkeypatch, few, gathered):
+    """Every stretch of every text was a row and was shuffled before."""
+    monkeypatch.setattr(placement, "FEW", few, raising=False)
+    monkeypatch.setattr(placement, "GATHERED", gathered, raising=False)
+    rng = random.Random(few)
+    draw = lambda n: "".join(rng.choices(["a", "b", "c ", " \n", "é", "😀"], k=n))
+    texts = [(i, draw(rng.randint(0, 500)), f"k{i % 3}") for i in range(12)] + [(12, None, "k0"), (13, "", "k1"), (14, "a" * 600, "k2")]
+    quotes = [draw(n) for n in (1, 2, 3, 5, 8, 30)] + [(t or "")[i : i + 40].replace(" ", "  ") for i, t, _ in texts] + [None, " ", "a" * 30]
+    asked = [(i, q, f"k{(i + j) % 4}") for i, q in enumerate(quotes) for j in range(3)]
+    want = set()
+    for i, q, k in asked:
+        for j, t, of in texts:
+            if k == of and q and q.strip() and t and (m := re.search(r"\s+".join(map(re.escape, q.split())), t)):
+                at = t.find(q)
+                want.add((i, k, j, *((at, at + len(q)) if at >= 0 else m.span())))
+    q = spark.createDataFrame(asked, "quote_id int, quote string, of string")
+    t = spark.createDataFrame(texts, "text_id int, text string, of string")
+    placed = placement.place_quotes(q, t, within="of")
+    assert {tuple(r) for r in placed.select("quote_id", "of", "text_id", "start", "end").collect()} == want and len(want) > 30
+    assert "inline(" not in placed._jdf.queryExecution().optimizedPlan().toString()
