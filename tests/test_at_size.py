@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as entry
 from clauseflow.operators import documents, extraction, gate, placement
+from clauseflow.sources import literals
+from clauseflow.sources.vocabulary import PATTERNS
 
 
 def test_sweep_reads_the_prompts_a_fixed_number_of_times(spark, tmp_path):
@@ -102,3 +104,14 @@ def test_placement_within_makes_no_row_for_a_stretch(spark, monkeypatch, few, ga
     placed = placement.place_quotes(q, t, within="of")
     assert {tuple(r) for r in placed.select("quote_id", "of", "text_id", "start", "end").collect()} == want and len(want) > 30
     assert "inline(" not in placed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_all_that_a_pattern_needs():
+    """One set of literals decided before, so that patterns ran on texts that lack the others."""
+    assert literals.required_sets(r"most\s+favo(?:u)?red\s+(?:nation|customer)") == [("favo",), ("most",), ("red",), ("customer", "nation")]
+    assert literals.required_sets(r"(?:(?:alpha)+beta)?gamma|delta") == [("delta", "gamma")]
+    assert literals.required_sets(r"(?:alpha|\w+)x?") == literals.required_sets("[") == literals.required_sets("ab") == []
+    for lines in PATTERNS.values():
+        for p in lines:
+            sets = literals.required_sets(p)
+            assert literals.required_literals(p) in sets and all(len(x) >= literals.LEAST for some in sets for x in some)
