@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,9 @@ from ..functions.text import SPACE, locate, pinned
 HEAD, PART = 24, 256
 #: Quotes that are looked for beside one reading of a text; as many heads are looked for one by one.
 GATHERED, FEW = 1024, 64
+#: Bytes of a head's beginning that a text is searched for, by numpy; as many different ones are sent to
+#: the tasks, more are joined.
+BEGINNINGS, SENT = (1, 2, 4, 8, 16, 24), 65_536
 
 
 def _bare(text: str) -> Column:
@@ -27,6 +34,52 @@ def _heads(bare: str, size: int | Column) -> Column:
     return F.array_distinct(F.flatten(cut))
 
 
+def _windows(data: bytes) -> dict[int, np.ndarray]:
+    """Hashes of all windows of BEGINNINGS bytes, each size from smaller ones."""
+    hashes = {1: np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)}
+    for size, part, factor in ((2, 1, 0x9E3779B97F4A7C15), (4, 2, 0xC2B2AE3D27D4EB4F), (8, 4, 0x165667B19E3779F9), (16, 8, 0xD6E8FEB86659FD93), (24, 8, 0xA0761D6478BD642F)):
+        n = max(0, len(data) - size + 1)
+        hashes[size] = hashes[size - part][:n] * np.uint64(factor) + hashes[part][size - part :][:n]
+    return hashes
+
+
+def _beginning(head: Column) -> Column:
+    """The hash of as many of a head's first bytes as BEGINNINGS has."""
+
+    @F.pandas_udf("bigint")
+    def hashed(heads: pd.Series) -> pd.Series:
+        def one(head: str) -> int:
+            data = head.encode()
+            size = max(n for n in BEGINNINGS if n <= len(data))
+            return int(_windows(data[:size])[size].view(np.int64)[0])
+
+        return heads.map(one)
+
+    return hashed(head)
+
+
+def _begun(bare: Column, wanted: list[int], sizes: list[int]) -> Column:
+    """Which of the wanted hashes a text's windows have."""
+    sought = np.sort(np.array(wanted, np.int64).view(np.uint64))
+
+    @F.pandas_udf("array<bigint>")
+    def met(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        mixed, shift = np.uint64(0x9FB21C651E98DF25), np.uint64(44)
+        likely = np.zeros(1 << 20, bool)
+        likely[(sought * mixed) >> shift] = True
+
+        def one(text: str) -> np.ndarray:
+            hashes = _windows(text.encode())
+            some = [h[likely[(h * mixed) >> shift]] for h in (hashes[n] for n in sizes)]
+            found = np.unique(np.concatenate(some)) if some else sought[:0]
+            return found[np.isin(found, sought)].view(np.int64)
+
+        for batch in texts:
+            yield batch.map(one)
+
+    return met(bare)
+
+
 def place_quotes(quotes: DataFrame, texts: DataFrame, within: str | None = None) -> DataFrame:
     """quotes(quote_id, quote), texts(text_id, text) -> (quote_id, text_id, start, end): the first place
     of every quote in every text that holds it, exactly or up to white space.
@@ -35,16 +88,28 @@ def place_quotes(quotes: DataFrame, texts: DataFrame, within: str | None = None)
     (``_placed_within``).
 
     Without white space, a text that holds a quote holds the quote's head, HEAD characters or as many
-    as it has. Heads are indexed by size, of which there are HEAD at the most; each text's stretches of
-    a size that quotes have are hashed, and only texts that share a head with a quote are searched. A
-    head that very many quotes share meets a text once for each of them, as each is a place to find;
-    texts are joined by key after that, once for each quote that may stand there.
+    as it has. Up to SENT different beginnings of heads are sent to the tasks, which hash all windows of a
+    text of as many bytes; only texts that share one with a quote are joined, by its hash, and searched if
+    they hold the quote up to white space. Of more, heads are indexed by size, of which there are HEAD at
+    the most; each text's stretches of a size that quotes have are hashed and joined, and texts are joined by
+    key after that. A head that very many quotes share meets a text once for each of them, as each is a
+    place to find.
 
     Blank and null quotes and null texts have no place.
     """
     if within:
         return _placed_within(quotes, texts, within)
     bare = _bare("quote")
+    begun = quotes.select("quote_id", "quote", bare.alias("whole")).where("whole != ''").withColumn("begin", _beginning(F.substring("whole", 1, HEAD)))
+    size = F.octet_length(F.substring("whole", 1, HEAD))
+    sent = begun.groupBy("begin").agg(F.collect_set(sum((F.when(size >= n, 1).otherwise(0) for n in BEGINNINGS), F.lit(0))).alias("sizes")).limit(SENT + 1).collect()
+    if len(sent) <= SENT:
+        sizes = sorted({BEGINNINGS[i - 1] for row in sent for i in row["sizes"]})
+        held = pinned(texts.where("text IS NOT NULL").select("text_id", "text"), "bare", _bare("text"))
+        met = held.select("*", F.explode(_begun(F.col("bare"), [row["begin"] for row in sent], sizes)).alias("begin"))
+        near = met.join(begun, "begin").where(F.contains("bare", "whole"))
+        placed = pinned(near, "place", locate(F.col("text"), F.col("quote"))).where("place IS NOT NULL")
+        return placed.select("quote_id", "text_id", "place.start", "place.end")
     size = F.least(F.lit(HEAD), F.char_length(bare))
     asked = quotes.select("quote_id", "quote", size.alias("size"), F.xxhash64(F.substring(bare, 1, HEAD)).alias("head")).where("size > 0")
     sizes = sorted(r[0] for r in asked.select("size").distinct().collect())  # HEAD at the most

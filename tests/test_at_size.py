@@ -115,3 +115,23 @@ def test_all_that_a_pattern_needs():
         for p in lines:
             sets = literals.required_sets(p)
             assert literals.required_literals(p) in sets and all(len(x) >= literals.LEAST for some in sets for x in some)
+
+
+@pytest.mark.parametrize("sent", [0, 65_536])
+def test_placement_by_beginnings(spark, monkeypatch, sent):
+    """Beginnings sent to the tasks find what the join of all stretches finds; those were rows before."""
+    monkeypatch.setattr(placement, "SENT", sent, raising=False)
+    rng = random.Random(5)
+    draw = lambda n: "".join(rng.choices(["a", "b", "c ", " \n", "é", "😀", "　"], k=n))
+    texts = [(i, draw(rng.randint(0, 600))) for i in range(14)] + [(14, None), (15, ""), (16, "a" * 300), (17, " ")]
+    quotes = [draw(n) for n in (1, 1, 2, 3, 4, 6, 9, 30)] + [(t or "")[i : i + 45].replace(" ", "  ") for i, t in texts] + [None, " ", "a" * 30, "é", "😀"]
+    want = set()
+    for i, q in enumerate(quotes):
+        for j, t in texts:
+            if q and q.strip() and t and (m := re.search(r"\s+".join(map(re.escape, q.split())), t)):
+                at = t.find(q)
+                want.add((i, j, *((at, at + len(q)) if at >= 0 else m.span())))
+    q = spark.createDataFrame(list(enumerate(quotes)), "quote_id int, quote string")
+    placed = placement.place_quotes(q, spark.createDataFrame(texts, "text_id int, text string"))
+    assert {tuple(r) for r in placed.select("quote_id", "text_id", "start", "end").collect()} == want and len(want) > 30
+    assert ("inline(" in placed._jdf.queryExecution().optimizedPlan().toString()) == (sent == 0)
